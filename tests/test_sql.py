@@ -22,7 +22,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def value(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
             return None
         return round(float(x), 6) if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, (bool, np.bool_)) else str(x)
 
