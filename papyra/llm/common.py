@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that one Arrow batch carries to a Python worker: texts may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -27,6 +37,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: a cut of the lineage that survives lost executors,
     and rows whose order-dependent columns (row ids, partition ids) can no longer change on a retry."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{staging_root(spark)}/papyra/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
