@@ -124,7 +124,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         else:
             close, name, attrs = m[1], m[2].lower(), m[3]
-        inline = name in _INLINE
+        inline = name in _INLINE or name in _SKIP  # what is skipped inside a sentence does not end its block
         if not inline:
             flush()
         if close:
@@ -152,7 +152,6 @@ def blocks(page: str | None) -> list[Block]:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             if not stack[-1].skip and name != "title":
                 say(page[at : stop.start() if stop else end])
-            flush()
             stack.pop()
             at = stop.end() if stop else end
     flush()
@@ -233,7 +232,7 @@ def _extract(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """pages (html, ...) with `text` and `n_chars` added (names that pages must not have)."""
+    """pages (html, ...) with `text` and `n_chars` added, in place of columns of those names."""
     return pages.withColumn("text", _extract(F.col("html").cast("string"))).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import read
+from papyra.llm.common import fresh, read
 
 #: Stands in for a secret; production runs pass their own.
 KEY = b"papyra-pseudonyms"
@@ -285,10 +285,11 @@ def _replace(key: bytes):
 
 
 def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with text replaced, and a struct column `pii` of counts by kind (a name that docs must not have)."""
-    found = docs.withColumn("pii", _replace(key)(F.col("text").cast("string")))
-    rest = [F.col("pii.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*rest, F.struct(*[F.col(f"pii.n_{k}").alias(k) for k in KINDS]).alias("pii"))
+    """docs with text replaced, and a struct column `pii` of counts by kind, as _pii where docs has such a column."""
+    (pii,) = fresh(docs, "pii")
+    found = docs.withColumn(pii, _replace(key)(F.col("text").cast("string")))
+    rest = [F.col(f"{pii}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*rest, F.struct(*[F.col(f"{pii}.n_{k}").alias(k) for k in KINDS]).alias(pii))
 
 
 def op9_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:

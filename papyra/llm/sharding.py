@@ -57,11 +57,12 @@ def communication_matrix(counts: list[int], shards: list[int], seed: int) -> np.
 
 
 def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 1, rows_per_block: int = 100_000) -> DataFrame:
-    """df with columns shard (0 to n_shards - 1) and slot (0 to size of the shard - 1) added."""
+    """df with columns shard (0 to n_shards - 1) and slot (0 to size of the shard - 1) added, as _shard and _slot where df has
+    such columns."""
     spark = df.sparkSession
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
-    rid, blk, n, at, sub, key = fresh(df, "rid", "blk", "n", "at", "sub", "key")
+    shard, slot, rid, blk, n, at, sub, key = fresh(df, "shard", "slot", "rid", "blk", "n", "at", "sub", "key")
     rows = staged(df.withColumn(rid, F.monotonically_increasing_id()), "shard-rows")
     total = rows.count()
     blocks = partitions_for(total, rows_per_block, MOST_BLOCKS)
@@ -74,14 +75,14 @@ def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 1, rows_per_bl
     ends = spark.createDataFrame([(i, [int(x) for x in np.cumsum(matrix[i])]) for i in range(blocks)], T.StructType([T.StructField(blk, T.IntegerType()), T.StructField(at, T.ArrayType(T.LongType()))]))
     place = f"row_number() over (partition by `{blk}` order by xxhash64(`{rid}`, {seed + 1}), `{rid}`)"
     sent = blocked.withColumn(n, F.expr(place).cast("long")).join(F.broadcast(ends), blk)  # at most MOST_BLOCKS rows
-    sent = sent.withColumn("shard", F.size(F.filter(at, lambda e: e < F.col(n))).cast("int"))
+    sent = sent.withColumn(shard, F.size(F.filter(at, lambda e: e < F.col(n))).cast("int"))
     pieces = partitions_for(-(-total // n_shards), rows_per_block, MOST_BLOCKS)
     sent = sent.withColumn(key, F.xxhash64(rid, F.lit(seed + 2))).withColumn(sub, F.floor((F.shiftrightunsigned(key, 1) / F.lit(2.0**63)) * pieces).cast("int"))
     sent = staged(sent.drop(blk, n, at), "shard-sent")
-    starts = sent.groupBy("shard", sub).count().selectExpr("shard", f"`{sub}`", f"sum(count) over (partition by shard order by `{sub}`) - count as `{at}`")
+    starts = sent.groupBy(shard, sub).agg(F.count("*").alias(n)).selectExpr(f"`{shard}`", f"`{sub}`", f"sum(`{n}`) over (partition by `{shard}` order by `{sub}`) - `{n}` as `{at}`")
     starts = staged(starts, "shard-starts")
-    slot = F.expr(f"row_number() over (partition by shard, `{sub}` order by `{key}`, `{rid}`)")
-    return sent.withColumn(n, slot).join(starts, ["shard", sub]).withColumn("slot", F.col(at) + F.col(n) - 1).select(*df.columns, "shard", "slot")
+    place = F.expr(f"row_number() over (partition by `{shard}`, `{sub}` order by `{key}`, `{rid}`)")
+    return sent.withColumn(n, place).join(starts, [shard, sub]).withColumn(slot, F.col(at) + F.col(n) - 1).select(*df.columns, shard, slot)
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int, seed: int = 1) -> None:
