@@ -10,7 +10,7 @@ roots mean equal texts. The fingerprint is
 
 with digests cut to 8 hex digits below the root and 8 hex digits (CRC-32) for each piece, so two fingerprints can be
 compared from the root down and the differing branches name the sections, paragraphs and pieces that were edited. The
-likeness of two fingerprints is the Dice coefficient of their sets of piece digests.
+likeness of two fingerprints is the Dice coefficient of their sets of piece digests; a piece that is repeated counts once.
 
 Defined results: a null text counts as empty, and the empty text has one section of one empty paragraph without pieces;
 two texts without pieces have likeness 1, one with and one without 0. Rows that share doc_id and text are one document
@@ -95,20 +95,20 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("h", F.xxhash64("text"))
     order = staged(next_documents(docs), "merkle-next")
     nulls = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
-    rows = keyed.withColumns({"k": nulls[0], "z": nulls[1]})
+    rows = keyed.select(nulls[0].alias("k"), nulls[1].alias("z"), "h", "text")  # one exchange of the texts serves both joins
     # a document as the next one of another: its opening and pieces go to that other
     before = order.select(F.coalesce("next_id", F.lit(0)).alias("k"), F.col("next_id").isNull().alias("z"), F.col("next_h").alias("h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"))
     sizes = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).distinct()
     before = before.join(sizes.select(F.coalesce("doc_id", F.lit(0)).alias("to_k"), F.col("doc_id").isNull().alias("to_z"), F.col("h").alias("to_h2"), "n"), (F.coalesce("to_id", F.lit(0)) == F.col("to_k")) & (F.col("to_id").isNull() == F.col("to_z")) & (F.col("to_h") == F.col("to_h2")))
     before = staged(before.select("k", "z", "h", "to_k", "to_z", "to_h", F.floor(F.col("n") / 3).cast("int").alias("m")), "merkle-before")
-    sent = rows.select("k", "z", "h", "text").join(before, ["k", "z", "h"]).groupBy("to_k", "to_z", "to_h").agg(F.min(F.struct(F.expr("substring(text, 1, m)").alias("opening"), F.array_join(piece_digests(F.col("text")), "").alias("pieces"))).alias("n"))
+    sent = rows.join(before, ["k", "z", "h"]).groupBy("to_k", "to_z", "to_h").agg(F.min(F.struct(F.expr("substring(text, 1, m)").alias("opening"), F.array_join(piece_digests(F.col("text")), "").alias("pieces"))).alias("n"))
     sent = sent.select(F.col("to_k").alias("k"), F.col("to_z").alias("z"), F.col("to_h").alias("h"), "n.opening", F.col("n.pieces").alias("next_pieces"))
     met = rows.join(sent, ["k", "z", "h"]).withColumn("n_chars", F.length("text").cast("long"))
     met = met.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.col("opening")))
     met = met.withColumn("mine", piece_digests(F.col("text"))).withColumn("theirs", piece_digests(F.col("edited")))
     met = met.withColumn("a", piece_set(F.col("mine")))
     return met.select(
-        "doc_id",
+        F.when(~F.col("z"), F.col("k")).alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text"), F.col("mine")).alias("fingerprint"),
