@@ -12,6 +12,7 @@ score is the share of good training rows (1 if there are none); contradicting la
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,14 +103,14 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole short texts; of longer ones evenly spaced chunks, with their repeat flags."""
     for pdf in batches:
         rows = []
-        for label, t in zip(pdf["label"], pdf["text"], strict=True):
+        for i, label, t in zip(pdf["doc_id"], pdf["label"], pdf["text"], strict=True):
             b = _padded(np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8))
             rep = repeats(b).astype(np.uint8)
             k = (len(b) - (WIDTH - STRIDE)) // (CHUNK // 2) - 1
-            at = sorted({round(i) for i in np.linspace(0, k - 1, min(k, TRAIN_CHUNKS))})
-            cut = [slice(i * CHUNK // 2, i * CHUNK // 2 + CHUNK + WIDTH - STRIDE) for i in at]
-            rows.append((label, b"".join(b[c].tobytes() for c in cut), b"".join(rep[c].tobytes() for c in cut)))
-        yield pd.DataFrame(rows, columns=["label", "b", "r"])
+            at = sorted({round(j) for j in np.linspace(0, k - 1, min(k, TRAIN_CHUNKS))})
+            cut = [slice(j * CHUNK // 2, j * CHUNK // 2 + CHUNK + WIDTH - STRIDE) for j in at]
+            rows.append((i, label, b"".join(b[c].tobytes() for c in cut), b"".join(rep[c].tobytes() for c in cut)))
+        yield pd.DataFrame(rows, columns=["doc_id", "label", "b", "r"])
 
 
 def train(rows: list[tuple[float, np.ndarray, np.ndarray]], epochs: int = 10, rate: float = 0.01, batch: int = 16, seed: int = 5) -> Network:
@@ -157,13 +158,19 @@ def train(rows: list[tuple[float, np.ndarray, np.ndarray]], epochs: int = 10, ra
     return net
 
 
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bounded sample is fitted in one task, so that the driver holds nothing but the network."""
+    found = [(i, float(a), np.frombuffer(b, np.uint8), np.frombuffer(c, np.uint8)) for pdf in batches for i, a, b, c in zip(pdf["doc_id"], pdf["label"], pdf["b"], pdf["r"], strict=True)]
+    rows = [r[1:] for r in sorted(found, key=lambda r: r[0])]  # rows come in any order, the network is to be the same
+    y = [r[0] for r in rows]
+    model = (sum(y) / len(y) if y else 1.0) if len(set(y)) < 2 else train(rows)
+    yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
     """From rows outside the held-out quarter; a constant where there is nothing to learn from."""
-    rows = labelled(docs, labels, "quality", 2, 4, TRAIN_ROWS).select("text", "label").mapInPandas(_examples, "label int, b binary, r binary").toPandas()
-    y = rows["label"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 1.0
-    return train([(a, np.frombuffer(b, np.uint8), np.frombuffer(c, np.uint8)) for a, b, c in zip(y, rows["b"], rows["r"], strict=True)])
+    rows = labelled(docs, labels, "quality", 2, 4, TRAIN_ROWS).mapInPandas(_examples, "doc_id long, label int, b binary, r binary")
+    return pickle.loads(rows.repartition(1).mapInPandas(_fit, "model binary").first()[0])
 
 
 def _score(model: Network | float):
@@ -175,7 +182,7 @@ def _score(model: Network | float):
 
 
 def scored(docs: DataFrame, model: Network | float) -> DataFrame:
-    """docs with `score` added (a name that docs must not have)."""
+    """docs with `score` added, in place of a column of that name."""
     return docs.withColumn("score", _score(model)(F.col("text").cast("string")))
 
 

@@ -102,7 +102,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha: fl
 
 def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"label": pdf["label"], "x": [np.unique(features(t)).astype(np.int32) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [np.unique(features(t)).astype(np.int32) for t in pdf["text"]]})
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: int, most: int) -> DataFrame:
@@ -113,16 +113,27 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: i
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bounded sample is fitted in one task, so that the driver holds nothing but the weights."""
+    found = [(i, y, np.asarray(x, np.int32)) for pdf in batches for i, y, x in zip(pdf["doc_id"], pdf["label"], pdf["x"], strict=True)]
+    found.sort(key=lambda r: r[0])  # rows come in any order, the model is to be the same
+    labels, rows = np.array([r[1] for r in found], float), [r[2] for r in found]
+    if not len(labels) or labels.min() == labels.max():
+        bias = 35.0 if len(labels) and labels[0] else -35.0
+        yield pd.DataFrame({"at": [-1], "weight": [bias]})
+        return
+    w, bias = ftrl(rows, labels)
+    at = np.flatnonzero(w)
+    yield pd.DataFrame({"at": np.r_[-1, at], "weight": np.r_[bias, w[at]].astype(float)})
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, weights, bias) from rows outside the held-out third."""
-    rows = labelled(docs, labels, "toxic", 1, 3, TRAIN_ROWS).select("text", "label").mapInPandas(_distinct, "label int, x array<int>").toPandas()
-    y = rows["label"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return np.empty(0, np.int64), np.empty(0, np.float32), -35.0 if share == 0 else 35.0
-    w, bias = ftrl([np.asarray(x, np.int64) for x in rows["x"]], y)
-    at = np.flatnonzero(w)
-    return at, w[at], bias
+    rows = labelled(docs, labels, "toxic", 1, 3, TRAIN_ROWS).mapInPandas(_distinct, "doc_id long, label int, x array<int>")
+    model = rows.repartition(1).mapInPandas(_fit, "at long, weight double").toPandas()  # at most 2**HASH_BITS + 1 rows, few after L1
+    at, w = model["at"].to_numpy(), model["weight"].to_numpy()
+    known = at >= 0
+    return at[known], w[known].astype(np.float32), float(w[~known][0])
 
 
 def _score(model: tuple[np.ndarray, np.ndarray, float]):
@@ -143,7 +154,7 @@ def _score(model: tuple[np.ndarray, np.ndarray, float]):
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
-    """docs with `score` added (a name that docs must not have)."""
+    """docs with `score` added, in place of a column of that name."""
     return docs.withColumn("score", _score(model)(F.col("text").cast("string")))
 
 
