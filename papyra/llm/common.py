@@ -43,6 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Removes all written intermediate tables; call it when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/papyra")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have (case-insensitively), one for each wanted name."""
     have, out = {c.lower() for c in df.columns}, []
