@@ -37,8 +37,11 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _P_ENDS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul", "figure", "details"}
 _BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
 _BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
-#: Words of class and id names of boilerplate.
-_BOILER_WORDS = {"nav", "navbar", "navigation", "menu", "header", "footer", "sidebar", "side", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "promo", "promotion", "sponsor", "sponsored", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "comment", "comments", "respond", "disqus", "form", "search", "login", "toolbar", "widget", "copyright", "legal", "disclaimer", "skip"}
+#: Words of class and id names of boilerplate, and beginnings of such words.
+_BOILER_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "promo", "promotion", "sponsor", "sponsored", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "comment", "comments", "respond", "disqus", "form", "search", "login", "toolbar", "widget", "copyright", "legal", "disclaimer", "skip"}
+_BOILER_STEMS = ("advert", "comment", "cookie", "breadcrumb", "newsletter", "promo", "sponsor", "subscri", "disclaim", "popup", "consent", "recommend")
+#: Words that also name the frames around an article ("with-sidebar"): an article inside is an article still.
+_LAYOUT_WORDS = {"nav", "navbar", "navigation", "menu", "header", "footer", "sidebar", "side", "topbar", "masthead"}
 _WORDS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -54,7 +57,7 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("article", "boiler", "heading", "link", "name", "skip")
+    __slots__ = ("article", "boiler", "heading", "layout", "link", "name", "skip")
 
     def __init__(self, name: str, parent: _Element | None, attrs: str) -> None:
         self.name = name
@@ -64,14 +67,22 @@ class _Element:
         self.link = bool(up and up.link) or name == "a"
         self.heading = bool(up and up.heading) or (len(name) == 2 and name[0] == "h" and name[1] in "123456")
         boiler = name in _BOILER_TAGS or (name == "header" and not self.article)
+        self.layout = bool(up and up.layout) and name not in ("article", "main")
         if attrs and not boiler:
             for m in _ATTR.finditer(attrs):
                 kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if kind in ("class", "id"):
-                    boiler |= name not in ("body", "html", "article", "main") and not _BOILER_WORDS.isdisjoint(_WORDS.findall(value))
+                    if name not in ("body", "html"):
+                        words = _WORDS.findall(value)
+                        boiler |= any(w.startswith(_BOILER_STEMS) for w in words) or (name not in ("article", "main") and not _BOILER_WORDS.isdisjoint(words))
+                        if not self.article:
+                            self.layout |= not _LAYOUT_WORDS.isdisjoint(words)
+                        elif name not in ("article", "main"):  # an article's own header holds its title
+                            boiler |= not _LAYOUT_WORDS.difference(("header", "masthead")).isdisjoint(words)
                 elif kind == "role":
                     boiler |= value in _BOILER_ROLES
-                    self.article |= value in ("main", "article")
+                    if value in ("main", "article"):
+                        self.article, self.layout = True, False
                 elif (kind == "hidden" and value != "false") or value == "true":
                     self.skip = True
         self.boiler = bool(up and up.boiler) or boiler
@@ -92,7 +103,7 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 top = stack[-1]
-                out.append(Block(text, n, min(1.0, linked / n), top.article, top.boiler, top.heading))
+                out.append(Block(text, n, min(1.0, linked / n), top.article, top.boiler or top.layout, top.heading))
             parts, linked = [], 0
 
     def say(raw: str) -> None:

@@ -269,6 +269,9 @@ def test_quality_pieces(monkeypatch):
     ("<header>top</header><main><p>Hello <b>w</b>orld,\n more</p><div class='comments'><p>nice post</p></div></main><footer>x", "Hello world, more"),
     ("<article><h1>T</h1><p>one<script>x</script> two<aside>no</aside><form>no</form><p>&copy; three</article><div class=ad>no", "T\none two\n© three"),
     ("<<p>x<3 y", "<\nx<3 y"), ("<nav><a href=a>x</a></nav><style>p{}</style>", ""),
+    ("<div class='page with-sidebar'><article><div class=article-header><h1>T</h1></div><p>in</p></article><div class=sidebar>no</div></div>", "T\nin"),
+    ("<main><p>in</p></main><div id=comments><article class=comment-body><p>no</p></article></div><div class='cookieBar'>no</div>", "in"),
+    ("<article><p>in</p><div class=related-posts>no</div><p>end</p><footer>no</footer><div class=article-footer>no</div></article>", "in\nend"),
     ("<article><p>cut <b attr='", "cut"), ("<article><ul><li>a<li>b</ul></article>", "a\nb"),
 ])
 def test_html(page, want):
