@@ -59,6 +59,18 @@ def a17_markdown_lines(v):
     return markdown_lines(v.blocks, v.headings)
 
 
+_ESC = "replace(replace(replace(replace(replace(trim(b.text), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&#x27;')"
+
+
+@query("blocks headings", f"""
+select b.doc_id, b.pos, '<' || coalesce('h' || h.level, 'p') || '>' || {_ESC} || '</' || coalesce('h' || h.level, 'p') || '>' as html
+from blocks b left join headings h on h.doc_id = b.doc_id and h.pos = b.pos""")
+def a18_html_lines(v):
+    from papyra.sources.sinks import html_lines
+
+    return html_lines(v.blocks, v.headings)
+
+
 @query("", "select sha256(text) as hash, 'doc_' || substr(sha256(text), 1, 16) || '.txt' as file, min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by text")
 def a24_content_addressed_store(v):
     h = F.sha2("text", 256)
