@@ -13,7 +13,8 @@ nothing.
 from __future__ import annotations
 
 import bisect
-import re
+import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,12 @@ from tokenizers import Tokenizer
 from papyra.llm.common import fresh, partitions_for, read, staged
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
+#: Words that stay when the cache is full: short ones are the frequent ones.
+STAY = 7
+_PUNCTUATION = "\"#$%&()*+,-./:;!?|<=>@[\\]^_`{}~"
 #: Separators of str.split() that the tokenizer's white-space pattern does not hold.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,25 +43,74 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 class WordIds:
     """The tokenizer drops white space and never joins over it, so a text's ids are those of its words in turn. Ids of
-    words, as little-endian unsigned 32-bit bytes, are kept in a bounded cache."""
+    words, as little-endian unsigned 32-bit bytes, are kept in a bounded cache.
+
+    Unknown words that are letters are encoded many at a time as one text: such a word is one unit of the tokenizer, and a
+    unit's last token marks a word end, so the ids fall apart into words again; where the count of word ends does not
+    come out, and for all other words, each is encoded on its own. Letters and then punctuation are two units, whose
+    ids are put together."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        self.ends = np.zeros(t.get_vocab_size(), bool)
+        for piece, i in t.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = piece.endswith("</w>")
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words) or at[-1] != len(ids):
+            return self._each(words)
+        cuts = [0, *(4 * at).tolist()]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Puts new words into the cache."""
+        plain, other, two = set(), set(), []
+        for w in new:
+            if w.isalpha():
+                plain.add(w)
+            elif (base := w.rstrip(_PUNCTUATION)) and base.isalpha():
+                two.append((w, base, w[len(base) :]))
+            else:
+                other.add(w)
+        for _, base, tail in two:
+            if base not in self.cache:
+                plain.add(base)
+            if tail not in self.cache:
+                other.add(tail)
+        letters = list(plain)
+        for i in range(0, len(letters), 2000):
+            self.cache.update(zip(letters[i : i + 2000], self._together(letters[i : i + 2000]), strict=True))
+        rest = list(other)
+        if rest:
+            self.cache.update(zip(rest, self._each(rest), strict=True))
+        self.cache.update((w, self.cache[base] + self.cache[tail]) for w, base, tail in two)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if not t else [t] if _NOT_SPACE.search(t) else t.split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({w for ws in split if ws for w in ws}.difference(self.cache))
-        self.cache.update(zip(new, self._encode(new), strict=True))
+        # the tokenizer lower-cases character by character; str.lower() differs from that in two letters only
+        split = [None if not t else [t] if any(c in t for c in _NOT_SPACE) else t.split() if "\u03a3" in t or "\u0130" in t else t.lower().split() for t in texts]
+        new: set[str] = set()
+        for ws in split:
+            if ws:
+                new.update(ws)
+        missing = list(new.difference(self.cache))
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache = {w: b for w, b in self.cache.items() if len(w) <= STAY}
+            if 2 * len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            missing = list(new.difference(self.cache))
+        self.learn(missing)
         get = self.cache.__getitem__
         out = [b"".join(map(get, ws)) if ws else b"" for ws in split]
-        for ws in split:  # texts that stand whole in the cache are not kept
+        for ws in split:  # texts that stand whole in the cache, and giant words, are not kept
             if ws and len(ws) == 1 and len(ws[0]) > 100:
                 self.cache.pop(ws[0], None)
         return out
@@ -79,7 +132,7 @@ def _batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[slice]
         yield slice(start, len(texts))
 
 
-def _pieces(path: str, limit: int, end_id: int):
+def _pieces(path: str, limit: int, end_id: int, digest: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,16 +144,20 @@ def _pieces(path: str, limit: int, end_id: int):
                 for doc_id, b in zip(ids[part], words.encode(texts[part]), strict=True):
                     b += end
                     n = len(b) // 4
-                    out.extend((doc_id, s, min(limit, n - s), b[4 * s : 4 * (s + limit)], n) for s in range(0, n, limit))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens"]).astype({"doc_id": "Int64"})
+                    for s in range(0, n, limit):
+                        piece = b[4 * s : 4 * (s + limit)]
+                        out.append((doc_id, s, min(limit, n - s), n, zlib.crc32(piece) if digest else piece))
+                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "ids_crc32" if digest else "ids"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def token_pieces(docs: DataFrame, limit: int = 2048, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens; the end id is counted."""
+def token_pieces(docs: DataFrame, limit: int = 2048, end_id: int = 1, path: str | None = None, digest: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit) or, as a digest, their
+    ids_crc32; the end id is counted."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInPandas(_pieces(path or tokenizer_path(), limit, end_id), "doc_id long, start long, length long, ids binary, doc_tokens long")
+    last = "ids_crc32 long" if digest else "ids binary"
+    return docs.mapInPandas(_pieces(path or tokenizer_path(), limit, end_id, digest), f"doc_id long, start long, length long, doc_tokens long, {last}")
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
@@ -184,8 +241,7 @@ def pack(spark: SparkSession, pieces: DataFrame, limit: int = 2048, rows_per_gro
 
 def packed_documents(docs: DataFrame, limit: int = 2048) -> DataFrame:
     """Pieces of all documents with their place and a digest of their ids, without the ids (packed_sequences has them)."""
-    pieces = token_pieces(docs, limit).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(docs.sparkSession, staged(pieces, "pack-pieces"), limit)
+    return pack(docs.sparkSession, staged(token_pieces(docs, limit, digest=True), "pack-pieces"), limit)
 
 
 def packed_sequences(docs: DataFrame, limit: int = 2048) -> DataFrame:
