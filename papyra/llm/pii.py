@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,16 +34,14 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
 
 
 def _round(key: bytes, kind: str, size: int, i: int, x: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind}|{size}|{i}|{x}".encode(), key=key[:64], digest_size=16).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(f"{kind}|{size:x}|{i}|{x:x}".encode(), key=key[:64], digest_size=64).digest(), "big")
 
 
 def permute(key: bytes, kind: str, size: int, x: int) -> int:
     """A keyed permutation of range(size): Feistel rounds over the smallest a * b >= size, walked until inside."""
     if size < 2:
         return x
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     while True:
         left, right = divmod(x, b)
@@ -59,9 +58,7 @@ def permute(key: bytes, kind: str, size: int, x: int) -> int:
 def inverse(key: bytes, kind: str, size: int, x: int) -> int:
     if size < 2:
         return x
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     while True:
         left, right = divmod(x, b)
@@ -134,8 +131,8 @@ def phone(key: bytes, m: str) -> str | None:
     d = _digits(m)
     if not 9 <= len(d) <= 15:
         return None
-    keep = len(d) - 9 if m.startswith("+") else 0  # the country code and what precedes nine digits stay
-    keep = min(keep, 3) if len(d) > 10 else keep
+    code = re.match(r"\+(\d{1,3})(?=\D)", m)  # a country code set apart stays
+    keep = len(code[1]) if code else 0
     return _refill(m, d[:keep] + _number(key, f"phone{d[:keep]}", d[keep:]))
 
 
@@ -178,33 +175,31 @@ def date(key: bytes, m: str) -> str | None:
     return None
 
 
-def _letters(key: bytes, kind: str, s: str) -> str:
-    """Each run of letters or digits is permuted within its alphabet and length, in blocks of at most 12."""
+def _shape(key: bytes, kind: str, s: str) -> str:
+    """Letters give letters and digits digits, as one number in mixed base, under a tweak of their places; other characters
+    and the case of each letter stay, so values that differ in case only have pseudonyms that do."""
+    size = v = 0
+    bases = [26 if "a" <= c.lower() <= "z" else 10 if "0" <= c <= "9" else 0 for c in s]
+    size = math.prod(b for b in bases if b)
+    for c, b in zip(s.lower(), bases, strict=True):
+        if b:
+            v = v * b + (ord(c) - 97 if b == 26 else int(c))
+    v = permute(key, kind + "".join("x" if b == 26 else "0" if b else c for c, b in zip(s, bases, strict=True)), size, v)
     out = []
-    for run in re.findall(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+", s):
-        base, zero = (26, "a") if "a" <= run[0] <= "z" else (26, "A") if "A" <= run[0] <= "Z" else (10, "0") if run[0].isdigit() else (0, "")
-        for i in range(0, len(run), 12):
-            part = run[i : i + 12]
-            if not base:
-                out.append(part)
-                continue
-            v = 0
-            for c in part:
-                v = v * base + ord(c) - ord(zero)
-            v = permute(key, f"{kind}{base}{len(part)}", base ** len(part), v)
-            new = []
-            for _ in part:
-                v, r = divmod(v, base)
-                new.append(chr(ord(zero) + r))
-            out.append("".join(reversed(new)))
-    return "".join(out)
+    for c, b in zip(reversed(s), reversed(bases), strict=True):
+        if b:
+            v, r = divmod(v, b)
+            new = chr(97 + r) if b == 26 else str(r)
+            c = new.upper() if c.isupper() else new
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def email(key: bytes, m: str) -> str | None:
-    """The name is permuted run by run under a tweak of the whole address; the domain stays unless it names a person."""
+    """The name and the first label of the domain are permuted; the rest of the domain stays."""
     name, _, domain = m.rpartition("@")
     head, _, tail = domain.partition(".")
-    return f"{_letters(key, f'mail|{len(name)}', name)}@{_letters(key, 'host', head)}.{tail}"
+    return f"{_shape(key, 'mail', name)}@{_shape(key, 'host', head)}.{tail}"
 
 
 def secret(key: bytes, m: str) -> str | None:
@@ -212,14 +207,9 @@ def secret(key: bytes, m: str) -> str | None:
     if not all(kinds):
         return None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", m):
-        out = []
-        for i in range(0, len(m), 16):
-            part = m[i : i + 16]
-            v = permute(key, f"hex{len(part)}", 16 ** len(part), int(part, 16))
-            out.append(f"{v:0{len(part)}x}")
-        new = "".join(out)
+        new = f"{permute(key, f'hex{len(m)}', 16 ** len(m), int(m, 16)):0{len(m)}x}"
         return new.upper() if m.isupper() else new
-    return _letters(key, "secret", m)
+    return _shape(key, "secret", m)
 
 
 _PATTERNS = (

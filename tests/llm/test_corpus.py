@@ -302,6 +302,10 @@ def test_pii_formats():
     iso, dotted = re.search(r"(\d{4})-(\d\d)-(\d\d) \((\d\d)\.(\d\d)\.(\d{4})\)", out).groups()[:3], re.search(r"\((\d\d)\.(\d\d)\.(\d{4})\)", out).groups()
     assert iso == dotted[::-1]  # one date, two layouts, one pseudonym
     assert pii.replaced("4111-1111-1111-1111")[0].replace("-", "") == card
+    mail, shout = pii.replaced("a.b1@mail2.example.com")[0], pii.replaced("A.B1@MAIL2.EXAMPLE.COM")[0]
+    assert mail.upper() == shout and mail != "a.b1@mail2.example.com" and mail in out
+    sha = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert pii.replaced(sha)[0].upper() == pii.replaced(sha.upper())[0] and sha not in pii.replaced(sha)[0]
     assert pii.replaced(None) == (None, {}) and pii.replaced("") == ("", {})
 
 
