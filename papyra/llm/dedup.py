@@ -29,7 +29,7 @@ from papyra.llm.common import staged
 
 M64 = (1 << 64) - 1
 #: Bucket members compared in one block of the last, exact step.
-BLOCK = 1024
+BLOCK = 512
 CACHE_WORDS = 300_000
 
 
@@ -241,27 +241,50 @@ def components(nodes: DataFrame, links: DataFrame, name: str, most_rounds: int =
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _block_pairs(p: MinHash):
-    """Pairs of one pair of blocks of one bucket that different components hold and that the signatures allow."""
+def _block_links(p: MinHash):
+    """Confirmed links in one pair of blocks of one bucket, as a forest: pairs of different components that the signatures
+    allow are compared on their full sets, in the first bucket that both share, until they are of one component."""
     mask = np.uint64(int("".join("1".rjust(p.bits, "0") for _ in range(64 // p.bits)), 2))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, label, blk = pdf["rep"].to_numpy(), pdf["label"].to_numpy(), pdf["blk"].to_numpy()
-        sig = np.stack(pdf["sig"].to_numpy()).view(np.uint64)
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right, out_a, out_b = np.flatnonzero(blk == i), np.flatnonzero(blk == j), [], []
-        for x in left:
+        rep, label, blk, text = pdf["rep"].to_numpy(), pdf["label"].to_numpy(), pdf["blk"].to_numpy(), pdf["text"].tolist()
+        sig, bands = np.stack(pdf["sig"].to_numpy()).view(np.uint64), np.stack(pdf["bands"].to_numpy())
+        i, j, band = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["band"].iloc[0]
+        right, out = np.flatnonzero(blk == j), []
+        root = {x: x for x in set(label.tolist())}
+        sets: dict[int, np.ndarray] = {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(text[k], p.words)
+            return sets[k]
+
+        for x in np.flatnonzero(blk == i):
             y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            if not len(y):
-                continue
             d = sig[y] ^ sig[x]
             e = d.copy()
             for s in range(1, p.bits):
                 e |= d >> np.uint64(s)
             y = y[np.bitwise_count(e & mask).sum(axis=1) <= p.most_mismatches]
-            out_a.append(np.minimum(rep[y], rep[x])), out_b.append(np.maximum(rep[y], rep[x]))
-        none = np.empty(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
+            same = bands[y] == bands[x]
+            y = y[bands[x][same.argmax(axis=1)] == band] if len(y) else y
+            for k in y.tolist():
+                m, n = find(label[x]), find(label[k])
+                if m == n:
+                    continue
+                a, b = full(x), full(k)
+                if 100 * min(len(a), len(b)) < p.percent * max(len(a), len(b)):
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= p.percent * (len(a) + len(b) - both):
+                    root[max(m, n)] = min(m, n)
+                    out.append((min(rep[x], rep[k]), max(rep[x], rep[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -294,9 +317,10 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         if turn < 2:  # other centres: one member of each bucket, taken from outside the bucket's smallest component
             pick = split.where("label <> low").groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "label")).alias("m")).select("band", F.col("m.rep").alias("a"), F.col("m.label").alias("own"))
             pairs = split.join(staged(pick, "minhash-pick"), "band").where("label <> own").select("a", F.col("rep").alias("b")).distinct()
+            more = _links(pairs, reps, texts, p, f"minhash-more{turn}")
         else:
-            pairs = _exact_rest(split, reps, p)
-        more = staged(_links(pairs, reps, texts, p, f"minhash-more{turn}"), "minhash-more")
+            more = _exact_rest(split, reps, texts, p)
+        more = staged(more, "minhash-more")
         if not more.isEmpty():
             links = links.union(more)
             labels = staged(components(candidates.select(F.col("rep").alias("node")), links, "minhash-cc"), "minhash-node-labels")
@@ -308,19 +332,20 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
 
 def _split_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, rep, label, low): members of the buckets that hold more than one component."""
+    """(band, rep, label, low, members): members of the buckets that hold more than one component."""
     now = shared.join(labels, F.col("rep") == F.col("node")).select("band", "rep", "label")
     several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low < high").select("band", "low", "members")
     return staged(now.join(staged(several, "minhash-several"), "band"), "minhash-split")
 
 
-def _exact_rest(split: DataFrame, reps: DataFrame, p: MinHash) -> DataFrame:
-    """All pairs of different components left in a bucket, found in blocks of packed signatures inside the tasks; only
-    pairs that the signatures allow are emitted. A bucket of m members takes (m / BLOCK)**2 / 2 tasks' worth of blocks."""
-    wide = split.join(reps.select("rep", "sig"), "rep")
-    wide = wide.withColumn("n_blk", (F.col("members") / BLOCK + 1).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit("blk")), F.col("n_blk")).cast("int"))
-    dealt = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1))).select("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "label", "sig")
-    return dealt.groupBy("band", "i", "j").applyInPandas(_block_pairs(p), "a long, b long").distinct()
+def _exact_rest(split: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
+    """Links between the components left in a bucket. The bucket is cut into blocks and every pair of blocks is a task's
+    work: pairs are compared there and never emitted, only the links that join components are. A bucket of m members
+    takes (m / BLOCK)**2 / 2 pairs of blocks, so the work of such buckets, but not what they emit, is quadratic."""
+    wide = split.withColumn("n_blk", (F.col("members") / BLOCK + 1).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit("blk")), F.col("n_blk")).cast("int"))
+    dealt = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1))).select("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "label")
+    rows = dealt.join(reps.select("rep", "sig", "bands"), "rep").join(texts, "rep")
+    return rows.groupBy("band", "i", "j").applyInPandas(_block_links(p), "a long, b long").distinct()
 
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
