@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from papyra.llm.common import staged
 
 M64 = (1 << 64) - 1
-#: Bucket members compared in one block of the last, exact step.
-BLOCK = 512
+#: Bucket members, and shingles of theirs, in one block of the last, exact step: what bounds a task's memory.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 CACHE_WORDS = 300_000
 
 
@@ -300,9 +300,9 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     folded = full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("m"))
     reps = staged(folded.select("set_key", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.bands", "m.sig"), "minhash-reps")
 
-    buckets = reps.select("rep", F.explode("bands").alias("band"))
+    buckets = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     centres = staged(buckets.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("far")).where("far > centre").select("band", "centre"), "minhash-centres")
-    shared = staged(buckets.join(centres, "band").select("band", "rep", "centre"), "minhash-shared")
+    shared = staged(buckets.join(centres, "band").select("band", "rep", "n", "centre"), "minhash-shared")
     candidates = staged(shared.select("rep").distinct(), "minhash-candidates")
     texts = docs.withColumnRenamed("doc_id", "rep").join(candidates, "rep", "left_semi").dropDuplicates(["rep", "text"])
     texts = staged(texts, "minhash-texts")
@@ -332,17 +332,17 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
 
 def _split_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, rep, label, low, members): members of the buckets that hold more than one component."""
-    now = shared.join(labels, F.col("rep") == F.col("node")).select("band", "rep", "label")
-    several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low < high").select("band", "low", "members")
+    """(band, rep, label, low, members, shingles): members of the buckets that hold more than one component."""
+    now = shared.join(labels, F.col("rep") == F.col("node")).select("band", "rep", "n", "label")
+    several = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("low < high").select("band", "low", "members", "shingles")
     return staged(now.join(staged(several, "minhash-several"), "band"), "minhash-split")
 
 
 def _exact_rest(split: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     """Links between the components left in a bucket. The bucket is cut into blocks and every pair of blocks is a task's
     work: pairs are compared there and never emitted, only the links that join components are. A bucket of m members
-    takes (m / BLOCK)**2 / 2 pairs of blocks, so the work of such buckets, but not what they emit, is quadratic."""
-    wide = split.withColumn("n_blk", (F.col("members") / BLOCK + 1).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit("blk")), F.col("n_blk")).cast("int"))
+    takes (m / BLOCK)**2 / 2 pairs of blocks or more, so the work of such buckets, but not what they emit, is quadratic."""
+    wide = split.withColumn("n_blk", (F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES) + 1).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit("blk")), F.col("n_blk")).cast("int"))
     dealt = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1))).select("band", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "label")
     rows = dealt.join(reps.select("rep", "sig", "bands"), "rep").join(texts, "rep")
     return rows.groupBy("band", "i", "j").applyInPandas(_block_links(p), "a long, b long").distinct()
