@@ -30,6 +30,23 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_minhash_dedup": r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as l from documents),
+sh as (
+  select doc_id, unnest(case when len(l) >= 2 then list_distinct(list_transform(generate_series(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1])) else l end) as s from w),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+k as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb
+  from (select * from sh join n using (doc_id)) a join (select * from sh join n using (doc_id)) b
+    on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+l as (select a, b from k where 100 * shared >= 80 * (na + nb - shared)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, node) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.node),
+c as (select doc_id, min(node) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.component_id = d.doc_id as kept
+from documents d left join n on n.doc_id = d.doc_id left join c on c.doc_id = d.doc_id
+""",
     "op8_mtree_topk": """
 with x as (
   select vec_id, list_transform(embedding, lambda e: cast(floor(1024 * cast(e as double)) as bigint)) as v from embeddings
