@@ -562,10 +562,10 @@ def e7_section_paths(v):
     return t.join(up, ["doc_id", "parent"], "left").select("doc_id", "pos", path.alias("path"))
 
 
-@query("chunks", "select lane, chunk_id, cast(row_number() over (partition by lane order by round(vector[1], 6) desc, chunk_id) as integer) as rank from chunks")
+@query("chunks", "with r as (select lane, chunk_id, cast(row_number() over (partition by lane order by round(vector[1], 6) desc, chunk_id) as integer) as rank from chunks) select * from r where rank <= 60")
 def e8_lane_rank(v):
     w = Window.partitionBy("lane").orderBy(F.desc(F.round(F.col("vector")[0].cast("double"), 6)), "chunk_id")
-    return v.chunks.select("lane", "chunk_id", F.row_number().over(w).alias("rank"))
+    return v.chunks.select("lane", "chunk_id", F.row_number().over(w).alias("rank")).where("rank <= 60")
 
 
 @query("blocks", """
