@@ -234,6 +234,15 @@ def pseudonym(key: bytes, kind: str, value: str) -> str | None:
     return _MAKE[kind](key, value)
 
 
+def _card_beginnings(run: str) -> Iterator[str]:
+    """Shorter beginnings of a run of digit groups that end with a group and have 13 digits or more, longest first: a card
+    may stand before an expiry date, a code or an amount."""
+    for end in reversed([m.start() for m in re.finditer("[ -]", run)]):
+        if len(_digits(run[:end])) < 13:
+            return
+        yield run[:end]
+
+
 def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     counts: dict[str, int] = {}
@@ -242,12 +251,16 @@ def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, dict[str,
     out, at = [], 0
     while m := _ALL.search(text, at):
         kind, value = m.lastgroup, m[0]
-        new = pseudonym(key, kind, value)
-        if new is None:  # not valid as this kind: perhaps as a later one from the same place
-            for later in [n for n, _, _ in _PATTERNS if n != kind]:
-                if (m2 := _SINGLE[later].match(text, m.start())) and (new := pseudonym(key, later, m2[0])) is not None:
-                    m, kind = m2, later
-                    break
+        new, end = pseudonym(key, kind, value), m.end()
+        if new is None:  # not valid as this kind: perhaps as a shorter card or as a later kind from the same place
+            for later in [kind] * (kind == "card") + [n for n, _, _ in _PATTERNS if n != kind]:
+                if m2 := _SINGLE[later].match(text, m.start()):
+                    for part in [m2[0], *(_card_beginnings(m2[0]) if later == "card" else ())]:
+                        if (new := pseudonym(key, later, part)) is not None:
+                            break
+                    if new is not None:
+                        kind, end = later, m.start() + len(part)
+                        break
         if new is None:
             out.append(text[at : m.start() + 1])
             at = m.start() + 1
@@ -257,7 +270,7 @@ def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, dict[str,
             continue
         out += [text[at : m.start()], new]
         counts[kind] = counts.get(kind, 0) + 1
-        at = m.end()
+        at = end
     out.append(text[at:])
     return "".join(out), counts
 

@@ -309,6 +309,13 @@ def test_pii_formats():
     assert pii.replaced(None) == (None, {}) and pii.replaced("") == ("", {})
 
 
+@pytest.mark.parametrize("number", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "378282246310005"])
+@pytest.mark.parametrize("rest", [" 12/25", " 123", "-123", " 12/25 123", " 20.00 EUR", " 1234 5678 9012"])
+def test_pii_card_before_digits(number, rest):
+    out, n = pii.replaced(f"card {number}{rest}")
+    assert n["card"] == 1 and out == f"card {pii.replaced(number)[0]}{rest}" and number not in out
+
+
 def test_pii_table(docs):
     got = pii.pseudonymised(docs)
     assert got.columns == [*docs.columns, "_pii"] and got.count() == len(table())
