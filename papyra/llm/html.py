@@ -7,7 +7,8 @@ element, role, or a word of class or id), and heading. The tree is grown, by Gin
 below and then applied to every block; scripts, styles and markup never become blocks.
 
 Unclosed paragraphs, missing end tags and truncated pages are read as browsers do in these respects: a block tag ends
-the block before it, an end tag closes what is open down to its element. Character references are decoded. Defined
+the block before it, an end tag closes what is open down to its element, text or an element that cannot stand in a head
+closes an open head. Character references are decoded. Defined
 results: null, empty or text-free html gives an empty text; white space inside a block (ASCII and other Unicode space)
 becomes one space; a page without article or main element is judged by words and links alone.
 """
@@ -30,6 +31,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 _LOOSE = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SKIP = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "select", "textarea", "button"}
+#: What may stand in a head; anything else closes it.
+_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head"}
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -106,8 +109,14 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, n, min(1.0, linked / n), top.article, top.boiler or top.layout, top.heading))
             parts, linked = [], 0
 
+    def leave_head() -> None:
+        while stack[-1].name == "head":
+            stack.pop()
+
     def say(raw: str) -> None:
         nonlocal linked
+        if stack[-1].name == "head" and raw.strip(" \t\n\f\r"):
+            leave_head()
         if raw and not stack[-1].skip:
             text = _html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -146,6 +155,8 @@ def blocks(page: str | None) -> list[Block]:
                     del stack[i:]
                     break
             continue
+        if name not in _HEAD:
+            leave_head()
         if name in _VOID:
             continue
         shuts = _CLOSES.get(name, ()) if name != "p" and name not in _P_ENDS else {"p"}

@@ -278,6 +278,17 @@ def test_html(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>t</title><meta charset=utf-8><style>p{}</style><body><article><p>in</article>", "in"),
+    ("<head><title>t</title><link rel=a href=b><article><p>in</article>", "in"),
+    ("<head><title>t</title>\n<script>x</script>one <b>two</b><p>three", "one two\nthree"),
+    ("<head><head><noscript><p>no</p></noscript><template><p>no</p></template><main><p>in</main>", "in"),
+    ("<head><title>t</title></head><body><main><p>in</main>", "in"),
+])
+def test_html_open_head(page, want):
+    assert html.main_text(page) == want
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>in</article>", "old"), (2, "v", None, "old")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html.extracted(df).orderBy("page_id").collect()] == [(1, "in", 2), (2, "", 0)]
