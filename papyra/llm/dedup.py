@@ -215,12 +215,14 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, p: MinHash, name
     return members.join(centres, ["a", "fan"]).select("a", "b", "text_a", "text_b").mapInPandas(_confirm(p), "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
-    """(node, label): smallest node reachable over links (a, b). Labels are lowered over links and then jumped through
-    (label of the label) until nothing changes; every round is a written table."""
+def components(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(node, label): smallest node reachable over links (a, b). In each round labels are lowered over links, pushed to the
+    node that was the label before (roots are hooked on, so that whole trees join, however the ids lie) and jumped through
+    (label of the label), until nothing changes; every round is a written table."""
     both = staged(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
     labels = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"), f"{name}-labels")
-    for _ in range(most_rounds):
+    changed = True
+    while changed:
         low = (
             both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
             .groupBy("a")
@@ -229,15 +231,13 @@ def components(nodes: DataFrame, links: DataFrame, name: str, most_rounds: int =
             .select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         )
         low = staged(low, f"{name}-low")
-        up = low.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        after = low.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", F.coalesce("up_label", "label")).alias("label"))
+        pushed = low.select(F.col("old").alias("node"), F.lit(None).cast("long").alias("old"), "label")
+        hooked = staged(low.union(pushed).groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("label")), f"{name}-hooked")
+        up = hooked.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
+        after = hooked.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", F.coalesce("up_label", "label")).alias("label"))
         after = staged(after, f"{name}-labels")
         changed = not after.where("label <> old").isEmpty()
         labels = after.select("node", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 

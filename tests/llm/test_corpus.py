@@ -85,6 +85,16 @@ def test_near_duplicate_chain(spark):
     assert set(got.component_id) == {0}
 
 
+def test_components_of_a_shuffled_chain(spark):
+    """1,000 nodes in a chain with ids in random order, and a second chain: the rounds grow with the logarithm."""
+    ids = random.Random(3).sample(range(5000), 1010)
+    long, short = ids[:1000], ids[1000:]
+    links = [(a, b) for c in (long, short) for a, b in zip(c, c[1:], strict=False)]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, 9999]], "node long")
+    got = dedup.components(nodes, spark.createDataFrame(links, "a long, b long"), "chain").collect()
+    assert dict(got) == {i: min(c) for c in (long, short) for i in c} | {9999: 9999} and len(got) == 1011
+
+
 def test_blocks_of_unlinked_buckets(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 3)
     rnd = random.Random(2)
