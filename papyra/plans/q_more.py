@@ -233,9 +233,8 @@ def i12_topicality(v):
 
 @query("")
 def i14_final_greedy(v):
-    o = v.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(400)
-    c = o.select(F.lit("q").alias("query_id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("section"), F.col("o_orderkey").alias("block"), F.lit(0).alias("start"), F.lit(100).alias("end"), F.when(F.col("o_orderkey") % 2 == 0, "en").otherwise("ja").alias("lane"), F.col("o_totalprice").alias("relevance"))
-    return hybrid.pick_evidence(c)
+    c = v.orders.select(F.lit("q").alias("query_id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("section"), F.col("o_orderkey").alias("block"), F.lit(0).alias("start"), F.lit(100).alias("end"), F.when(F.col("o_orderkey") % 2 == 0, "en").otherwise("ja").alias("lane"), F.col("o_totalprice").alias("relevance"))
+    return hybrid.pick_evidence(hybrid.enough_evidence(c))
 
 
 @query("")

@@ -104,8 +104,7 @@ def i13_final_relevance(v):
 @query("")
 def i8_diversified_pick(v):
     """No SQL: a greedy choice; tests hold it against a plain loop."""
-    o = v.orders.withColumn("r", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("r <= 200")
-    return R.diversified(o.select(F.col("o_orderpriority").alias("query_id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("score")), 32)
+    return R.diversified(v.orders.select(F.col("o_orderpriority").alias("query_id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("score")), 32)
 
 
 @query("blocks", "select cast(row_number() over (order by doc_id, pos) as integer) as cite_no, doc_id, pos, substr(text, 1, 120) as context, '[' || row_number() over (order by doc_id, pos) || '] ' || substr(text, 1, 120) as line from blocks where contains(lower(text), 'license') and doc_id < 300")

@@ -2,14 +2,16 @@
 
 import io
 import zipfile
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
-from papyra.operators import layout, pages, retrieval
+from papyra.operators import hybrid, layout, pages, retrieval
 from papyra.operators.dedup import similar_names
+from papyra.plans import q_more, q_retrieval
 from papyra.sources import archives, manifest
 from papyra.sources import pages as P
 from papyra.sources import sinks
@@ -108,6 +110,40 @@ def test_diversified(spark):
     assert [r.item for r in got] == [0, 2, 1, 3]
 
 
+def hot_orders(spark):
+    """One customer holds the 600 dearest orders."""
+    rows = [(i, 1 if i < 600 else i % 50 + 2, "OF"[i % 2], 2000.0 - i, "1-URGENT") for i in range(1000)]
+    return SimpleNamespace(orders=spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"))
+
+
+def test_diversified_hot_document(spark):
+    v = hot_orders(spark)
+    left, used, want = [(r.o_totalprice, r.o_orderkey, r.o_custkey) for r in v.orders.collect()], {}, []
+    while len(want) < 32:
+        best = min(left, key=lambda r: (-r[0] / (1 + 0.12 * used.get(r[2], 0)), r[1]))
+        left.remove(best)
+        want.append(best[1])
+        used[best[2]] = used.get(best[2], 0) + 1
+    got = q_retrieval.i8_diversified_pick(v).orderBy("place").collect()
+    assert [r.item for r in got] == want and len(used) > 1
+
+
+def test_final_greedy_hot_document(spark):
+    v = hot_orders(spark)
+    rows = [{"doc_id": r.o_custkey, "section": r.o_orderstatus, "block": r.o_orderkey, "start": 0, "end": 100, "lane": "ja" if r.o_orderkey % 2 else "en", "relevance": r.o_totalprice} for r in v.orders.collect()]
+    want = hybrid.picked(sorted(rows, key=lambda c: (-c["relevance"], c["doc_id"], c["block"])))
+    got = q_more.i14_final_greedy(v).orderBy("place").collect()
+    assert [r.block for r in got] == [c["block"] for c in want] and len({c["doc_id"] for c in want}) > 1
+
+
+def test_dense_top_k_in_blocks(spark):
+    rows = [(i, i % 7, "ab"[i % 2], [float(i % 13), float(i % 5), 1.0]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id long, lane string, vector array<float>")
+    queries = chunks.selectExpr("chunk_id as query_id", "vector as q")
+    one, many = retrieval.dense_top_k(chunks, queries, 3), retrieval.dense_top_k(chunks, queries, 3, most_queries=7)
+    assert one.count() == 60 * 2 * 3 and sorted(one.collect()) == sorted(many.collect())
+
+
 def test_similar_names(spark):
     f = spark.createDataFrame([(1, "annualreport2020final"), (2, "short")], "file_no long, key string")
     d = spark.createDataFrame([(10, "annualreport2020fina1"), (11, "annualreport1999draft"), (12, "short")], "doc_id long, key string")
