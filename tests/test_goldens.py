@@ -144,6 +144,11 @@ def test_dense_top_k_in_blocks(spark):
     assert one.count() == 60 * 2 * 3 and sorted(one.collect()) == sorted(many.collect())
 
 
+def test_citations_and_contexts_of_all_hits(spark):
+    v = SimpleNamespace(blocks=spark.range(2100).selectExpr("id div 10 as doc_id", "cast(id % 10 as int) as pos", "'License ' || id as text"))
+    assert q_retrieval.i19_citations(v).count() == q_more.i18_context_expansion(v).count() == 2100
+
+
 def test_similar_names(spark):
     f = spark.createDataFrame([(1, "annualreport2020final"), (2, "short")], "file_no long, key string")
     d = spark.createDataFrame([(10, "annualreport2020fina1"), (11, "annualreport1999draft"), (12, "short")], "doc_id long, key string")
