@@ -213,7 +213,7 @@ def h14_name_similarity(v):
 def h30_folded_key(v):
     from papyra.functions.unicode import folded_key
 
-    return v.documents.select("doc_id", folded_key(F.substring("text", 1, 200)).alias("key"))
+    return v.documents.select("doc_id", folded_key(F.col("text")).alias("key"))
 
 
 # --- retrieval -----------------------------------------------------------------------------------------------------

@@ -149,6 +149,11 @@ def test_citations_and_contexts_of_all_hits(spark):
     assert q_retrieval.i19_citations(v).count() == q_more.i18_context_expansion(v).count() == 2100
 
 
+def test_folded_key_of_a_whole_text(spark):
+    v = SimpleNamespace(documents=spark.createDataFrame([(1, "x" * 300 + "a"), (2, "x" * 300 + "b")], "doc_id long, text string"))
+    assert q_more.h30_folded_key(v).select("key").distinct().count() == 2
+
+
 def test_similar_names(spark):
     f = spark.createDataFrame([(1, "annualreport2020final"), (2, "short")], "file_no long, key string")
     d = spark.createDataFrame([(10, "annualreport2020fina1"), (11, "annualreport1999draft"), (12, "short")], "doc_id long, key string")
