@@ -6,14 +6,18 @@ first; each takes the shortest open packs that still leave room (worst fit), who
 depends on the number of lengths, not of documents. The result is a table of packing patterns with counts; pieces of a
 length are ranked, in parallel, and their ranks look their sequence up.
 
-Defined results: a null or empty text is the one end id; repeated rows are pieces of their own; an empty table packs to
-nothing.
+Special tokens that are spelled in a text are encoded as the tokenizer's plain call does, as one id.
+
+Defined results: a null or empty text is the one end id; repeated rows are pieces of their own, also with a null doc_id; an
+empty table packs to nothing; other columns of docs are not read, and `pack` keeps those of pieces, whatever their names
+(its own helpers take names that are free).
 """
 
 from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +37,11 @@ STAY = 7
 _PUNCTUATION = "\"#$%&()*+,-./:;!?|<=>@[\\]^_`{}~"
 #: Separators of str.split() that the tokenizer's white-space pattern does not hold.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Special tokens are found as they are written, and str.lower() and the tokenizer need not agree on these letters (context,
+#: several letters for one, younger scripts): texts that hold any of them are not lower-cased before they are split.
+_KEEP_CASE = re.compile(r"<\||[\u0130\u03a3\u10a0-\u10ff\u1c80-\u1cbf\u1e9e\u2c00-\u2c7f\ua640-\ua7ff\uab30-\uabbf\U00010400-\U0001ffff]")
+#: Letters of old scripts, which every version of Unicode knows as such and which stay single letters in lower case.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u0451\u4e00-\u9fa5]+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -45,15 +54,14 @@ class WordIds:
     """The tokenizer drops white space and never joins over it, so a text's ids are those of its words in turn. Ids of
     words, as little-endian unsigned 32-bit bytes, are kept in a bounded cache.
 
-    Unknown words that are letters are encoded many at a time as one text: such a word is one unit of the tokenizer, and a
+    Unknown words of common letters are encoded many at a time as one text: such a word is one unit of the tokenizer, and a
     unit's last token marks a word end, so the ids fall apart into words again; where the count of word ends does not
-    come out, and for all other words, each is encoded on its own. Letters and then punctuation are two units, whose
-    ids are put together."""
+    come out, and for all other words (special tokens, marks, letters with no single lower-case letter), each is encoded
+    on its own. Common letters and then punctuation are two units, whose ids are put together."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         self.ends = np.zeros(t.get_vocab_size(), bool)
         for piece, i in t.get_vocab(with_added_tokens=True).items():
             self.ends[i] = piece.endswith("</w>")
@@ -75,9 +83,9 @@ class WordIds:
         """Puts new words into the cache."""
         plain, other, two = set(), set(), []
         for w in new:
-            if w.isalpha():
+            if _LETTERS.fullmatch(w):
                 plain.add(w)
-            elif (base := w.rstrip(_PUNCTUATION)) and base.isalpha():
+            elif "<|" not in w and (base := w.rstrip(_PUNCTUATION)) and _LETTERS.fullmatch(base):
                 two.append((w, base, w[len(base) :]))
             else:
                 other.add(w)
@@ -95,8 +103,7 @@ class WordIds:
         self.cache.update((w, self.cache[base] + self.cache[tail]) for w, base, tail in two)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # the tokenizer lower-cases character by character; str.lower() differs from that in two letters only
-        split = [None if not t else [t] if any(c in t for c in _NOT_SPACE) else t.split() if "\u03a3" in t or "\u0130" in t else t.lower().split() for t in texts]
+        split = [None if not t else [t] if any(c in t for c in _NOT_SPACE) else t.split() if _KEEP_CASE.search(t) else t.lower().split() for t in texts]
         new: set[str] = set()
         for ws in split:
             if ws:
@@ -216,9 +223,9 @@ def _lookup(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def pack(spark: SparkSession, pieces: DataFrame, limit: int = 2048, rows_per_group: int = 100_000) -> DataFrame:
+def pack(spark: SparkSession, pieces: DataFrame, limit: int = 2048, rows_per_group: int = 2_000) -> DataFrame:
     """pieces (length, ...) -> the same rows with sequence_id and offset. pieces must be a stable table (written)."""
-    cell, key, rank, first = fresh(pieces, "cell", "key", "rank", "first")
+    cell, key, rank, first, p_length, runs, hit = fresh(pieces, "cell", "key", "rank", "first", "p_length", "runs", "hit")
     total = pieces.count()
     cells = partitions_for(total, rows_per_group)
     # ranks within a length: a length may hold any share of the rows, so it is dealt into cells with known offsets
@@ -232,11 +239,16 @@ def pack(spark: SparkSession, pieces: DataFrame, limit: int = 2048, rows_per_gro
     local = F.expr(f"row_number() over (partition by length, `{cell}` order by `{key}`, {', '.join(f'`{c}`' for c in pieces.columns if c not in ('ids', 'text'))})")
     placed = ranked.withColumn(rank, local).join(starts, ["length", cell]).withColumn(rank, F.col(rank) - 1 + F.col(first))
     # patterns depend on lengths alone: a few for each, so the table is small whatever the number of pieces
-    bounds = table.groupBy("p_length").agg(F.sort_array(F.collect_list(F.struct("p_end", "p_first", "p_sequence", "p_offset", "p_in"))).alias("runs"))
-    found = placed.join(F.broadcast(bounds), F.col("length") == F.col("p_length"))
-    hit, within = F.col("runs")[F.size(F.filter("runs", lambda r: r["p_end"] <= F.col(rank)))], F.col(rank) - F.col("hit.p_first")
-    found = found.withColumn("hit", hit)
-    return found.select(*pieces.columns, (F.col("hit.p_sequence") + F.floor(within / F.col("hit.p_in"))).cast("long").alias("sequence_id"), (F.col("hit.p_offset") + F.pmod(within, F.col("hit.p_in")) * F.col("length")).cast("long").alias("offset"))
+    bounds = table.groupBy(F.col("p_length").alias(p_length)).agg(F.sort_array(F.collect_list(F.struct("p_end", "p_first", "p_sequence", "p_offset", "p_in"))).alias(runs))
+    found = placed.join(F.broadcast(bounds), F.col("length") == F.col(p_length))
+    found = found.withColumn(hit, F.col(runs)[F.size(F.filter(runs, lambda r: r["p_end"] <= F.col(rank)))])
+    within = F.col(rank) - F.col(f"{hit}.p_first")
+    sequence_id, offset = fresh(pieces, "sequence_id", "offset")
+    return found.select(
+        *[F.col(f"`{c}`") for c in pieces.columns],
+        (F.col(f"{hit}.p_sequence") + F.floor(within / F.col(f"{hit}.p_in"))).cast("long").alias(sequence_id),
+        (F.col(f"{hit}.p_offset") + F.pmod(within, F.col(f"{hit}.p_in")) * F.col("length")).cast("long").alias(offset),
+    )
 
 
 def packed_documents(docs: DataFrame, limit: int = 2048) -> DataFrame:

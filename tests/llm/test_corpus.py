@@ -137,7 +137,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     got = packing.packed_documents(docs, 256).toPandas()
     for i, g in got.dropna(subset=["doc_id"]).groupby("doc_id"):
         text = next(r[1] for r in table() if r[0] == i)
@@ -155,6 +154,34 @@ def test_packing(docs):
     assert sum(len(x) // 4 for x in whole["ids"]) == got["length"].sum()
 
 
+def test_random_unicode_is_encoded_like_the_plain_call():
+    """All planes, letters that change in number when lower-cased, spellings of special tokens."""
+    from tokenizers import Tokenizer
+
+    t, w, rnd = Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path()), random.Random(1)
+    assert t.encode("hello <|endoftext|> x", add_special_tokens=False).ids == np.frombuffer(w.encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [3306, 49407, 343]
+    known = ["TÜRKİYE", "CUMHURİYETİ.", "İ!", "GEMİ)", "TARİHİ,", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x", "a<|endoftext|>,", "'s", "don't", "e\u0301", "ΣΑΣ.", "ẞ.", "ǅ", "ŉ.", "日本", "\u1112\u1161\u11ab", "ﬁ.", "\x1c", "\xa0", "\u0345", "ª", "ſ!", "\u212a"]
+    for _ in range(1500):
+        parts = []
+        for _ in range(rnd.randint(1, 8)):
+            k = rnd.random()
+            if k < 0.4:
+                parts.append(rnd.choice(known))
+            elif k < 0.6:
+                parts.append("".join(chr(rnd.choice([rnd.randrange(32, 0x250), rnd.randrange(0x250, 0xD7FF), rnd.randrange(0xE000, 0x110000)])) for _ in range(rnd.randint(1, 4))) + rnd.choice(["", "."]))
+            else:
+                parts.append("".join(rnd.choice("abcXYZé'-.<|> ") for _ in range(rnd.randint(1, 6))))
+            parts.append(rnd.choice(["", " ", "\n"]))
+        s = "".join(parts)
+        assert np.frombuffer(w.encode([s])[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, s
+
+
+def test_pack_keeps_other_columns(spark):
+    df = spark.createDataFrame([(5, "a", 1, 2, 3), (3, None, 1, 2, 3)] * 3, "length long, runs string, hit int, p_length int, offset int")
+    got = packing.pack(spark, df, 8, rows_per_group=2).toPandas()
+    assert list(got.columns) == [*df.columns, "sequence_id", "_offset"] and len(got) == 6 and got.groupby("sequence_id")["length"].sum().max() <= 8
+
+
 def test_words_are_encoded_like_whole_texts():
     w = packing.WordIds(packing.tokenizer_path())
     hard = ["İstanbul İİ x", "don't it's 's", "a\x1cb c", "<|endoftext|> x", "é é", "日本語 ｔｅ", "ΣΑΣ Σ.", "x" * 300, "a_b -- ...", "", " \n", "12.5 ١٢٣"]
