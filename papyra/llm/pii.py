@@ -8,8 +8,14 @@ a date of its layout, an address an address, hexadecimal keys hexadecimal. Permu
 (however written, for cards, telephones and dates: the separators are kept apart) have equal pseudonyms in every
 document and different values different ones, with no table of values and no shuffle.
 
+The key is a parameter, or the setting spark.papyra.pseudonym.key of the session. Where neither is given, a key is drawn at
+random once for the application: pseudonyms are then linked within it, but not with those of another run, and nobody can
+undo them.
+
 Defined results: null and empty texts stay as they are with no counts; overlapping finds go to the earlier and longer
-one, and to the kind named first.
+one, and to the kind named first; dates of 1900 to 2099 stay there, earlier and later ones among themselves; the country
+code of a telephone number stays, with or without separators; characters other than letters and digits stay in place;
+repeated rows are treated alike; other columns are kept, and a column `pii` of docs is kept beside the new `_pii`.
 """
 
 from __future__ import annotations
@@ -18,21 +24,32 @@ import datetime as dt
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.common import fresh, read
 
-#: Stands in for a secret; production runs pass their own.
-KEY = b"papyra-pseudonyms"
+KEY_SETTING = "spark.papyra.pseudonym.key"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, else one drawn at random for this application."""
+    named = spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING)
+    if named:
+        return hashlib.blake2b(named.encode()).digest()
+    sc = spark.sparkContext
+    if not hasattr(sc, "_papyra_key"):
+        sc._papyra_key = secrets.token_bytes(64)
+    return sc._papyra_key
+
+
 def _round(key: bytes, kind: str, size: int, i: int, x: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}|{size:x}|{i}|{x:x}".encode(), key=key[:64], digest_size=64).digest(), "big")
 
@@ -127,12 +144,21 @@ def iban(key: bytes, m: str) -> str | None:
     return "".join(out)
 
 
+#: Country codes of one and two digits; all others have three (fixed values of the numbering plan).
+_CODES_1 = {"1", "7"}
+_CODES_2 = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+
+
+def code_digits(d: str) -> int:
+    """How many digits the country code of an international number takes."""
+    return 1 if d[:1] in _CODES_1 else 2 if d[:2] in _CODES_2 else 3
+
+
 def phone(key: bytes, m: str) -> str | None:
     d = _digits(m)
     if not 9 <= len(d) <= 15:
         return None
-    code = re.match(r"\+(\d{1,3})(?=\D)", m)  # a country code set apart stays
-    keep = len(code[1]) if code else 0
+    keep = code_digits(d) if m[0] == "+" else 0
     return _refill(m, d[:keep] + _number(key, f"phone{d[:keep]}", d[keep:]))
 
 
@@ -156,7 +182,8 @@ def ip(key: bytes, m: str) -> str | None:
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
-_FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: First and last day of each range that is permuted within itself.
+_RANGES = tuple((dt.date(a, 1, 1).toordinal(), dt.date(b, 12, 31).toordinal()) for a, b in ((1900, 2099), (1, 1899), (2100, 9999)))
 
 
 def date(key: bytes, m: str) -> str | None:
@@ -168,10 +195,10 @@ def date(key: bytes, m: str) -> str | None:
             day = dt.date(*(int(p[i]) for i in order)).toordinal()
         except ValueError:
             continue
-        if _FIRST <= day <= _LAST:
-            new = dt.date.fromordinal(_FIRST + permute(key, "date", _LAST - _FIRST + 1, day - _FIRST))
-            parts = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
-            return sep.join(parts[i] for i in range(3))
+        first, last = next(r for r in _RANGES if r[0] <= day <= r[1])
+        new = dt.date.fromordinal(first + permute(key, "date", last - first + 1, day - first))
+        parts = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
+        return sep.join(parts[i] for i in range(3))
     return None
 
 
@@ -199,7 +226,10 @@ def email(key: bytes, m: str) -> str | None:
     """The name and the first label of the domain are permuted; the rest of the domain stays."""
     name, _, domain = m.rpartition("@")
     head, _, tail = domain.partition(".")
-    return f"{_shape(key, 'mail', name)}@{_shape(key, 'host', head)}.{tail}"
+    bare = name.lstrip("._%+-")
+    if not bare:
+        return None
+    return f"{name[: len(name) - len(bare)]}{_shape(key, 'mail', bare)}@{_shape(key, 'host', head)}.{tail}"
 
 
 def secret(key: bytes, m: str) -> str | None:
@@ -213,7 +243,7 @@ def secret(key: bytes, m: str) -> str | None:
 
 
 _PATTERNS = (
-    ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}", email),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}", email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("secret", r"(?<![A-Za-z0-9_])(?:AKIA[A-Z0-9]{16}|(?:sk|pk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9_])", secret),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])", card),
@@ -243,7 +273,7 @@ def _card_beginnings(run: str) -> Iterator[str]:
         yield run[:end]
 
 
-def replaced(text: str | None, key: bytes = KEY) -> tuple[str | None, dict[str, int]]:
+def replaced(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     counts: dict[str, int] = {}
     if not text or not _MAYBE.search(text):
@@ -287,8 +317,9 @@ def _replace(key: bytes):
     return F.pandas_udf(series, "text string, " + ", ".join(f"n_{k} int" for k in KINDS))
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with text replaced, and a struct column `pii` of counts by kind, as _pii where docs has such a column."""
+    key = key or session_key(docs.sparkSession)
     (pii,) = fresh(docs, "pii")
     found = docs.withColumn(pii, _replace(key)(F.col("text").cast("string")))
     rest = [F.col(f"{pii}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]

@@ -338,9 +338,13 @@ def test_permutation(size):
     assert len(set(ys)) == len(ys) and all(0 <= y < size for y in ys) and [pii.inverse(b"k", "t", size, y) for y in ys] == list(xs)
 
 
+def _replaced(text):
+    return pii.replaced(text, b"test key")
+
+
 def test_pii_formats():
     text = "Card 4111 1111 1111 1111, mail a.b1@mail2.example.com; +1 (017) 555-7713 from 97.51.17.173 on 2024-02-29 (29.02.2024), 078-05-1120; DE89370400440532013000. Not a card: 4111111111111112. v1.2.3"
-    out, n = pii.replaced(text)
+    out, n = _replaced(text)
     assert n == {"card": 1, "email": 1, "phone": 1, "ip": 1, "date": 2, "ssn": 1, "iban": 1}
     assert re.sub(r"\d", "9", re.sub("[a-z]", "a", out)) .startswith("Caaa 9999 9999 9999 9999, aaaa a.a9@aaaa9.aaaaaaa.aaa; +9 (999) 999-9999 aaaa ")
     card = re.search(r"Card ([\d ]+)", out)[1].replace(" ", "")
@@ -349,19 +353,54 @@ def test_pii_formats():
     assert pii.iban_check("DE", iban[4:]) == iban[2:4] and iban != "DE89370400440532013000"
     iso, dotted = re.search(r"(\d{4})-(\d\d)-(\d\d) \((\d\d)\.(\d\d)\.(\d{4})\)", out).groups()[:3], re.search(r"\((\d\d)\.(\d\d)\.(\d{4})\)", out).groups()
     assert iso == dotted[::-1]  # one date, two layouts, one pseudonym
-    assert pii.replaced("4111-1111-1111-1111")[0].replace("-", "") == card
-    mail, shout = pii.replaced("a.b1@mail2.example.com")[0], pii.replaced("A.B1@MAIL2.EXAMPLE.COM")[0]
+    assert _replaced("4111-1111-1111-1111")[0].replace("-", "") == card
+    mail, shout = _replaced("a.b1@mail2.example.com")[0], _replaced("A.B1@MAIL2.EXAMPLE.COM")[0]
     assert mail.upper() == shout and mail != "a.b1@mail2.example.com" and mail in out
     sha = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
-    assert pii.replaced(sha)[0].upper() == pii.replaced(sha.upper())[0] and sha not in pii.replaced(sha)[0]
-    assert pii.replaced(None) == (None, {}) and pii.replaced("") == ("", {})
+    assert _replaced(sha)[0].upper() == _replaced(sha.upper())[0] and sha not in _replaced(sha)[0]
+    assert _replaced(None) == (None, {}) and _replaced("") == ("", {})
 
 
 @pytest.mark.parametrize("number", ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "378282246310005"])
 @pytest.mark.parametrize("rest", [" 12/25", " 123", "-123", " 12/25 123", " 20.00 EUR", " 1234 5678 9012"])
 def test_pii_card_before_digits(number, rest):
-    out, n = pii.replaced(f"card {number}{rest}")
-    assert n["card"] == 1 and out == f"card {pii.replaced(number)[0]}{rest}" and number not in out
+    out, n = _replaced(f"card {number}{rest}")
+    assert n["card"] == 1 and out == f"card {_replaced(number)[0]}{rest}" and number not in out
+
+
+
+@pytest.mark.parametrize("value", ["12/31/1899", "1850-01-01", "2101-05-05", "9999-12-31", "0001-01-01", "a" * 90 + "@example.com", ".b" * 200 + "@example.com", "+49 170 1234567", "+12025550143"])
+def test_pii_leaves_nothing_in_clear(value):
+    out, n = _replaced(f"see {value} there")
+    assert sum(n.values()) == 1 and value not in out and len(out) == len(value) + 10
+    if "@" in value:
+        assert sum(a == b for a, b in zip(out[4:94], value, strict=False) if b.isalpha()) < 30
+
+
+def test_pii_phones_with_and_without_separators():
+    for a, b in (("+49 170 1234567", "+491701234567"), ("+1-202-555-0143", "+12025550143"), ("+358 40 123 4567", "+358401234567")):
+        x, y = _replaced(a)[0], _replaced(b)[0]
+        assert re.sub(r"\D", "", x) == re.sub(r"\D", "", y) != re.sub(r"\D", "", b) and re.sub(r"\d", "0", x) == re.sub(r"\d", "0", a)
+
+
+def test_pii_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for run in ("a" * 300_000, "1" * 300_000, "a.b-" * 80_000, "12 " * 100_000, "+1 " * 100_000):
+        _replaced(run + " x@y")
+    assert time.perf_counter() - began < 20
+
+
+def test_pii_key(spark):
+    a = pii.session_key(spark)
+    assert a == pii.session_key(spark) and len(a) == 64
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        assert pii.session_key(spark) not in (a, b"one")
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert _replaced("mail me@example.org")[0] != pii.replaced("mail me@example.org", b"other")[0]
 
 
 def test_pii_table(docs):
