@@ -5,7 +5,9 @@ inflected and compound forms share a feature), bigrams and skip-grams over one w
 learning rate; L1 leaves few non-zero weights, and only those are sent to the tasks: at most 2**HASH_BITS pairs.
 
 Defined results: a null or empty text has the bias alone; with no labelled rows, or rows of one class only, every score
-is the share of toxic training rows (0 if there are none); labels that contradict each other for an id count as toxic.
+is the share of toxic training rows (0 if there are none); labels that contradict each other for an id count as toxic; a
+null doc_id is in no fold (held_out false); an empty table has no rows; repeated rows are scored alike; texts of any
+length are read whole; other columns of docs are kept, a column `score` is replaced.
 """
 
 from __future__ import annotations
@@ -133,6 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     model = rows.repartition(1).mapInPandas(_fit, "at long, weight double").toPandas()  # at most 2**HASH_BITS + 1 rows, few after L1
     at, w = model["at"].to_numpy(), model["weight"].to_numpy()
     known = at >= 0
+    if known.all():  # no task ran, the rows being none
+        return at, w.astype(np.float32), -35.0
     return at[known], w[known].astype(np.float32), float(w[~known][0])
 
 
@@ -161,4 +165,4 @@ def scored(docs: DataFrame, model) -> DataFrame:
 def op5_ftrl_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, fit(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", (F.pmod(ascii_digits_crc("doc_id"), F.lit(3)) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(F.pmod(ascii_digits_crc("doc_id"), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -294,11 +294,91 @@ def test_quality(spark):
 
 
 def test_quality_pieces(monkeypatch):
-    """A long text read in pieces is scored as in one."""
-    net, text = quality.Network(), words(random.Random(1), 3000)
-    one = net.pooled(text)
+    """A long text read in pieces is scored and fitted as in one."""
+    net, text = quality.Network(), words(random.Random(1), 3000) + "abc" * 3000
+    one, b = net.pooled(text), quality.text_bytes(text)
+    flags = quality.text_flags(b)
+    few = [(b, flags), (quality.text_bytes("short"), quality.text_flags(quality.text_bytes("short")))]
+    monkeypatch.setattr(quality, "PIECE", 1 << 20)
+    whole = quality.gradients(net, few, np.array([1.0, 0.0], np.float32))
     monkeypatch.setattr(quality, "PIECE", 1024)
-    assert np.allclose(one, net.pooled(text), atol=1e-5)
+    assert np.allclose(one, net.pooled(text), atol=1e-5) and (flags == quality.text_flags(b)).all()
+    parts = quality.gradients(net, few, np.array([1.0, 0.0], np.float32))
+    assert all(np.allclose(whole[k], parts[k], atol=1e-5) for k in whole)
+
+
+def test_quality_against_plain_loops():
+    """The network by its definition, byte by byte; and the gradient by differences."""
+    net = quality.Network()
+    text = "A small text, a small text, and some ünicode 日本 after it. " * 7
+    b = quality.text_bytes(text)
+    n = len(b) - 4
+    rep = [float(any(i + 8 <= len(b) and i >= lag and b[i : i + 8].tobytes() == b[i - lag : i - lag + 8].tobytes() for lag in range(1, 25))) for i in range(len(b))]
+    places = []
+    for i in range(0, n, 2):
+        x = [v for k in range(6) for v in (*net.e[b[i + k]], rep[i + k])]
+        places.append([max(0.0, sum(a * w for a, w in zip(x, net.w[:, f], strict=True)) + net.b[f]) for f in range(16)])
+    places = np.array(places)
+    chunks = np.array([places[a : a + 128].mean(axis=0) for a in range(0, len(places) - 64, 64)])
+    want = np.concatenate([chunks.max(axis=0), chunks.mean(axis=0)])
+    assert np.allclose(net.pooled(text), want, atol=1e-4)
+    few = [(quality.text_bytes(t), quality.text_flags(quality.text_bytes(t))) for t in (text, "other words " * 40)]
+    y = np.array([1.0, 0.0], np.float32)
+
+    def loss():
+        p = np.array([net.probability(t) for t in (text, "other words " * 40)])
+        return -np.log(np.where(y == 1, p, 1 - p)).mean() + 0.5e-4 * float(net.v @ net.v)
+
+    g = quality.gradients(net, few, y)
+    for name, at in (("v", (3,)), ("v", (20,)), ("c", (0,)), ("b", (5,)), ("w", (7, 2)), ("w", (11, 9)), ("e", (97, 1)), ("e", (32, 4))):
+        a, old, step = getattr(net, name), getattr(net, name)[at], 1e-2
+        a[at] = old + step
+        up = loss()
+        a[at] = old - step
+        down = loss()
+        a[at] = old
+        assert abs((up - down) / (2 * step) - g[name][at]) < 2e-3 + 0.05 * abs(g[name][at]), (name, at)
+
+
+def test_ftrl_against_plain_loops():
+    """The same update, coordinate by coordinate in dictionaries; L1 leaves few weights."""
+    rnd = random.Random(6)
+    rows = [np.array(sorted(rnd.sample(range(60), 6)), np.int32) for _ in range(80)]
+    y = np.array([float(5 in r or 7 in r) for r in rows])
+    alpha, beta, l1 = 1.0, 1.0, 0.5
+    z, n, zb, nb, order = {}, {}, 0.0, 0.0, np.random.default_rng(7)
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - (l1 if a > 0 else -l1)) / ((beta + n.get(i, 0.0) ** 0.5) / alpha)
+
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            w, wb = {i: weight(i) for i in rows[k].tolist()}, -zb / ((beta + nb**0.5) / alpha)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + wb))) - y[k]
+            for i in w:
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+            s = ((nb + g * g) ** 0.5 - nb**0.5) / alpha
+            zb, nb = zb + g - s * wb, nb + g * g
+    w, bias = toxicity.ftrl(rows, y, epochs=4, l1=l1)
+    assert np.allclose([w[i] for i in range(60)], [weight(i) for i in range(60)], atol=1e-5) and abs(bias + zb / ((beta + nb**0.5) / alpha)) < 1e-6
+    dense, _ = toxicity.ftrl(rows, y, epochs=4, l1=0.0)
+    sparse, _ = toxicity.ftrl(rows, y, epochs=4, l1=3.0)
+    assert 0 < np.count_nonzero(sparse) < np.count_nonzero(w) < np.count_nonzero(dense) == 60
+
+
+def test_scores_of_odd_tables(spark, docs, empty):
+    """Empty tables, null ids, repeated rows, very long texts and clashing columns."""
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for op, column in ((toxicity, "toxic"), (quality, "quality")):
+        model = op.fit(docs, labels)
+        got = op.scored(docs, model)
+        assert got.columns == docs.columns and got.count() == len(table())
+        assert op.scored(empty, model).count() == 0
+        assert op.scored(docs, op.fit(empty, labels.limit(0))).where("score between 0 and 1").count() == len(table())
+        long = spark.createDataFrame([(1, words(random.Random(1), 200) * 2000), (1, None)], "doc_id long, text string")
+        assert op.scored(long, model).where("score between 0 and 1").count() == 2
 
 
 @pytest.mark.parametrize("page,want", [
