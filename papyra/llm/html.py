@@ -1,16 +1,20 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page becomes a flat list of text blocks (text between block-level tags). A block's features are its word count, its
-link density, the same two of the blocks before and after it, and three flags that its open elements give: inside the
-article or main element, inside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments; by
-element, role, or a word of class or id), and heading. The tree is grown, by Gini impurity, on the small labelled table
-below and then applied to every block; scripts, styles and markup never become blocks.
+link density, the same two of the blocks before and after it, and four flags that its open elements give: inside the
+article or main element, outside it on a page that has one, inside elements of a kind or name that pages use for
+boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments; by element, role, or a word of class
+or id), and heading. The tree is grown, by Gini impurity, on the blocks of the small labelled pages below and then
+applied to every block. Where the page names its parts, the flags lead; where it names nothing, word counts and link
+densities of the block and its neighbours decide. Scripts, styles and markup never become blocks.
 
 Unclosed paragraphs, missing end tags and truncated pages are read as browsers do in these respects: a block tag ends
 the block before it, an end tag closes what is open down to its element, text or an element that cannot stand in a head
-closes an open head. Character references are decoded. Defined
-results: null, empty or text-free html gives an empty text; white space inside a block (ASCII and other Unicode space)
-becomes one space; a page without article or main element is judged by words and links alone.
+closes an open head. Character references are decoded. The time is in proportion to the page, whatever its nesting.
+
+Defined results: null, empty or text-free html gives an empty text; white space inside a block (ASCII and other Unicode
+space) becomes one space; repeated pages are read alike; an empty table has no rows; other columns of pages are kept,
+columns `text` and `n_chars` are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 
 from papyra.llm.common import read
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SKIP = {"script", "style", "noscript", "template", "svg", "head", "iframe", "object", "canvas", "select", "textarea", "button"}
@@ -91,13 +95,50 @@ class _Element:
         self.boiler = bool(up and up.boiler) or boiler
 
 
+class _Stack:
+    """Open elements, with the places of each name and of what is not inline, so that no end tag has to look for its element."""
+
+    def __init__(self) -> None:
+        self.items = [_Element("#root", None, "")]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> _Element:
+        return self.items[-1]
+
+    def push(self, name: str, attrs: str) -> None:
+        at = len(self.items)
+        self.items.append(_Element(name, self.items[-1], attrs))
+        self.places.setdefault(name, []).append(at)
+        if name not in _INLINE:
+            self.blocks.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all inside it."""
+        while len(self.items) > at:
+            e = self.items.pop()
+            self.places[e.name].pop()
+            if e.name not in _INLINE:
+                self.blocks.pop()
+
+    def close(self, name: str, inline: bool) -> None:
+        if at := self.places.get(name):
+            if not inline or not self.blocks or self.blocks[-1] <= at[-1]:  # a stray inline end tag does not close blocks
+                self.cut(at[-1])
+
+    def shut(self, names: set[str]) -> None:
+        """Closes the innermost open block if it is one of these."""
+        if self.blocks and self.items[self.blocks[-1]].name in names:
+            self.cut(self.blocks[-1])
+
+
 def blocks(page: str | None) -> list[Block]:
     """Text blocks in page order."""
     if not page:
         return []
     out: list[Block] = []
-    root = _Element("#root", None, "")
-    stack, parts, linked = [root], [], 0
+    stack, parts, linked = _Stack(), [], 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -105,22 +146,22 @@ def blocks(page: str | None) -> list[Block]:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 n = text.count(" ") + 1
-                top = stack[-1]
+                top = stack.top
                 out.append(Block(text, n, min(1.0, linked / n), top.article, top.boiler or top.layout, top.heading))
             parts, linked = [], 0
 
     def leave_head() -> None:
-        while stack[-1].name == "head":
-            stack.pop()
+        while stack.top.name == "head":
+            stack.cut(len(stack.items) - 1)
 
     def say(raw: str) -> None:
         nonlocal linked
-        if stack[-1].name == "head" and raw.strip(" \t\n\f\r"):
+        if stack.top.name == "head" and raw.strip(" \t\n\f\r"):
             leave_head()
-        if raw and not stack[-1].skip:
+        if raw and not stack.top.skip:
             text = _html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if stack[-1].link:
+            if stack.top.link:
                 linked += len(text.split())
 
     at, end = 0, len(page)
@@ -148,12 +189,7 @@ def blocks(page: str | None) -> list[Block]:
         if not inline:
             flush()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    if inline and any(e.name not in _INLINE for e in stack[i + 1 :]):
-                        break  # a stray inline end tag does not close blocks
-                    del stack[i:]
-                    break
+            stack.close(name, inline)
             continue
         if name not in _HEAD:
             leave_head()
@@ -161,51 +197,82 @@ def blocks(page: str | None) -> list[Block]:
             continue
         shuts = _CLOSES.get(name, ()) if name != "p" and name not in _P_ENDS else {"p"}
         if shuts:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in shuts:
-                    del stack[i:]
-                    break
-                if stack[i].name not in _INLINE and stack[i].name not in shuts:
-                    break
-        stack.append(_Element(name, stack[-1], attrs))
+            stack.shut(shuts)
+        stack.push(name, attrs)
         if attrs.endswith("/") and name not in _RAW:
-            stack.pop()
+            stack.cut(len(stack.items) - 1)
         elif name in _RAW:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            if not stack[-1].skip and name != "title":
+            if not stack.top.skip and name != "title":
                 say(page[at : stop.start() if stop else end])
-            stack.pop()
+            stack.cut(len(stack.items) - 1)
             at = stop.end() if stop else end
     flush()
     return out
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boiler", "heading")
-#: The labelled table: pages of common layouts, each a list of blocks (words, links, article, boiler, heading, label) in
-#: page order. Neighbours' features come from the order.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "outside", "boiler", "heading")
+#: The labelled pages: markup, in which {n} stands for n words, and for each text block 1 if it is main text. The first
+#: ones name their parts; the others are told by words and links.
 LABELLED = (
-    [(1, 1.0, 0, 1, 0, 0), (1, 1.0, 0, 1, 0, 0), (9, 0.0, 0, 1, 0, 0), (8, 0.0, 1, 0, 1, 1), (60, 0.0, 1, 0, 0, 1), (2, 0.0, 1, 0, 0, 1), (120, 0.1, 1, 0, 0, 1), (12, 0.0, 0, 1, 0, 0)],
-    [(2, 1.0, 0, 1, 0, 0), (3, 1.0, 0, 1, 0, 0), (5, 0.0, 0, 1, 1, 0), (11, 0.0, 1, 0, 1, 1), (1, 0.0, 1, 0, 0, 1), (30, 0.0, 1, 1, 0, 0), (44, 0.3, 1, 0, 0, 1), (7, 0.3, 0, 1, 0, 0)],
-    [(24, 0.0, 0, 1, 0, 0), (1, 1.0, 0, 1, 0, 0), (6, 0.0, 1, 0, 1, 1), (4, 1.0, 1, 0, 0, 1), (200, 0.0, 1, 0, 0, 1), (3, 0.0, 1, 0, 0, 1), (40, 0.0, 1, 1, 0, 0), (55, 0.0, 1, 1, 0, 0), (6, 0.0, 0, 1, 0, 0)],
-    [(60, 0.1, 0, 1, 0, 0), (3, 0.0, 1, 0, 0, 1), (5, 0.0, 0, 1, 0, 0)],
-    [(2, 1.0, 0, 1, 0, 0), (90, 0.0, 1, 0, 0, 1), (25, 0.0, 1, 0, 0, 1), (80, 0.0, 0, 1, 0, 0), (33, 0.0, 0, 1, 0, 0)],
-    [(7, 0.0, 1, 0, 1, 1), (5, 0.6, 1, 0, 0, 1), (2, 1.0, 1, 0, 0, 1), (14, 0.0, 1, 0, 0, 1), (15, 0.0, 1, 1, 0, 0), (4, 0.0, 1, 1, 1, 0), (70, 0.0, 1, 1, 0, 0), (1, 1.0, 0, 1, 0, 0)],
-    [(4, 1.0, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0, 0, 0), (7, 0.0, 0, 0, 1, 1), (50, 0.0, 0, 0, 0, 1), (30, 0.1, 0, 0, 0, 1), (80, 0.05, 0, 0, 0, 1), (6, 0.8, 0, 0, 0, 0), (2, 1.0, 0, 0, 0, 0)],
-    [(2, 1.0, 0, 0, 0, 0), (9, 0.7, 0, 0, 0, 0), (14, 0.0, 0, 0, 0, 1), (3, 0.0, 0, 0, 0, 1), (70, 0.0, 0, 0, 0, 1), (10, 0.7, 0, 0, 0, 0), (3, 1.0, 0, 0, 0, 0)],
-    [(20, 0.0, 0, 0, 0, 1), (5, 0.0, 0, 0, 0, 1), (45, 0.2, 0, 0, 0, 1)],
+    ("<nav><ul><li><a>{1}</a><li><a>{1}</a><li><a>{2}</a></ul></nav><div class=ad>{9}</div><article><h1>{8}</h1><p>{60}</p><p>{2}</p><p>{120}</p></article><footer>{12}</footer>", "000011110"),
+    ("<header><a>{2}</a></header><nav><a>{3}</a></nav><main><h1>{11}</h1><p>{1}</p><section class=comments><p>{30}</p></section><p>{44} <a>{9}</a></p></main><footer>{7} <a>{3}</a></footer>", "0011010"),
+    ("<div class=cookie-notice><p>{24}</p><div><a>{1}</a></div></div><article><h2>{6}</h2><p><a>{4}</a></p><p>{200}</p><p>{3}</p><div class=comments><p>{40}</p><p>{55}</p></div></article><footer>{6}</footer>", "001111000"),
+    ("<aside><p>{60} <a>{6}</a></p></aside><article><p>{3}</p></article><div>{5}</div>", "010"),
+    ("<nav><a>{2}</a></nav><article><p>{90}</p><p>{25}</p></article><section><p>{80}</p><p>{33}</p><p>{9}</p></section>", "011000"),
+    ("<article><h1>{7}</h1><ul><li><a>{3}</a> {2}</li><li><a>{2}</a></li></ul><p>{14}</p><form><p>{15}</p></form><div class=related-posts><h3>{4}</h3><p>{70}</p></div></article><footer><a>{1}</a></footer>", "11110000"),
+    ("<nav><a>{1}</a></nav><div class=ad>{6}</div><article><h1>{7}</h1><p>{1}</p><p>{1}</p><p>{9}</p><p>{1}</p><p>{40}</p><p>{2}</p><p>{1}</p>", "0011111111"),
+    ("<article><h1>{5}</h1><p>{1}</p></article>", "11"),
+    ("<main><h1>{4}</h1><nav><ul><li><a>{2}</a><li><a>{3}</a></ul></nav><p>{30}</p><div class=share><a>{1}</a></div><p><a>{5}</a></p><aside><a>{4}</a></aside></main>", "1001010"),
+    ("<header>{3}</header><main><p>{4}</p></main><footer><a>{1}</a></footer>", "010"),
+    ("<article><h1>{2}</h1><p>{8}</p><p><a>{2}</a></p><p>{1}</p></article><nav><a>{1}</a></nav><footer>{2}</footer>", "111100"),
+    ("<nav><a>{2}</a></nav><h1>{6}</h1><p>{45}</p><p>{3}</p><p>{66}</p><aside>{40}</aside><footer>{30}</footer>", "0111100"),
+    ("<div><a>{2}</a></div><div><a>{1}</a> <a>{1}</a></div><h1>{7}</h1><p>{50}</p><p>{30} <a>{3}</a></p><p>{80}</p><div>{1} <a>{5}</a></div><div><a>{2}</a></div>", "00111100"),
+    ("<div><a>{2}</a></div><div>{3} <a>{6}</a></div><p>{14}</p><p>{3}</p><p>{70}</p><div>{3} <a>{7}</a></div><div><a>{3}</a></div>", "0011100"),
+    ("<p>{20}</p><p>{5}</p><p>{45}</p>", "111"),
+    ("<h1>{6}</h1><p>{80}</p><p>{70}</p><p>{38}</p>", "1111"),
+    ("<p>{4}</p><p>{2} <a>{1}</a></p><div>{1}</div>", "111"),
+    ("<p>{2}</p><p>{3}</p>", "11"),
+    ("<div><a>{2}</a></div><h1>{7}</h1><p>{62}</p><p>{30}</p><div><a>{4}</a></div>", "01110"),
+    ("<h2>{9}</h2><p>{19}</p><div><a>{2}</a></div><div>{9}</div>", "1100"),
+    ("<p>{1}</p>", "1"),
+    ("<div><a>{2}</a></div><h1>{6}</h1><p>{40}</p><p>{90}</p><p>{26}</p>", "01111"),
+    ("<nav><a>{2}</a></nav><article><p>{40}</p><p>{6}</p><p>{90}</p><p>{3}</p></article>", "01111"),
+    ("<ul><li><a>{1}</a><li><a>{1}</a><li><a>{1}</a><li><a>{2}</a></ul><h2>{9}</h2><p>{33}</p><p>{1}</p><p>{61} <a>{4}</a></p><p>{28}</p><div>{6}</div><div><a>{2}</a> <a>{2}</a></div>", "00001111100"),
+    ("<div><a>{1}</a></div><div>{3}</div><div><a>{2}</a></div><h1>{6}</h1><p>{25}</p><p>{40}</p><p>{18}</p><div>{8}</div>", "00011110"),
+    ("<div><a>{3}</a></div><p>{35}</p><p>{4}</p><p>{52}</p><p>{22}</p><div>{5} <a>{1}</a></div>", "011110"),
+    ("<div><a>{5}</a></div><div>{4} <a>{8}</a></div><div><a>{6}</a></div><div><a>{7}</a></div>", "0000"),
+    ("<table><tr><td><a>{1}</a><td><a>{1}</a></tr></table><h1>{5}</h1><p>{110}</p><ul><li>{6}<li>{7}<li>{5}</ul><p>{90}</p><div><a>{3}</a></div><div>{10}</div>", "0011111100"),
+    ("<div>{4}</div><div><a>{1}</a></div><div><a>{2}</a></div><h1>{8}</h1><p>{19}</p><p>{75}</p><p>{31}</p><div>{7}</div><div><a>{1}</a></div>", "000111100"),
+    ("<div>{2}</div><div><a>{1}</a></div><p>{64}</p><p>{12}</p><p>{47}</p><div>{6}</div>", "001110"),
 )
 
 
+def filled(markup: str) -> str:
+    """{n} becomes n words."""
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), markup)
+
+
+def features(found: list[Block]) -> list[tuple]:
+    """FEATURES of each block of a page."""
+    none = Block("", 0, 0.0, False, False, False)
+    framed = any(b.article for b in found)
+    return [
+        (b.words, b.links, a.words, a.links, c.words, c.links, b.article, framed and not b.article, b.boiler, b.heading)
+        for a, b, c in zip([none, *found], found, [*found[1:], none], strict=False)
+    ]
+
+
 def rows(pages) -> list[tuple]:
     """FEATURES and label of every block of labelled pages."""
     out = []
-    for page in pages:
-        around = [(0, 0.0), *page, (0, 0.0)]
-        out += [(b[0], b[1], a[0], a[1], c[0], c[1], *b[2:]) for a, b, c in zip(around, page, around[2:], strict=False)]
+    for markup, labels in pages:
+        x = features(blocks(filled(markup)))
+        out += [(*f, int(label)) for f, label in zip(x, labels, strict=True)]
     return out
 
 
-def grow(found: list[tuple], depth: int = 6) -> tuple:
+def grow(found: list[tuple], depth: int = 10) -> tuple:
     """A binary tree as nested (feature, threshold, low side, high side); leaves are True or False. Splits lower the Gini
     impurity most; ties go to the earlier feature and the smaller threshold."""
     good = sum(r[-1] for r in found)
@@ -237,14 +304,7 @@ def is_main(tree, x: tuple) -> bool:
 def main_text(page: str | None, tree=TREE) -> str:
     """Blocks that the tree takes for main text, in page order, joined by a line feed."""
     found = blocks(page)
-    none = Block("", 0, 0.0, False, False, False)
-    around = [none, *found, none]
-    framed = any(b.article for b in found)  # then what stands outside the article is the page's frame
-    out = []
-    for a, b, c in zip(around, found, around[2:], strict=False):
-        if is_main(tree, (b.words, b.links, a.words, a.links, c.words, c.links, b.article, b.boiler or (framed and not b.article), b.heading)):
-            out.append(b.text)
-    return "\n".join(out)
+    return "\n".join(b.text for b, x in zip(found, features(found), strict=True) if is_main(tree, x))
 
 
 @F.pandas_udf(T.StringType())

@@ -389,6 +389,7 @@ def test_scores_of_odd_tables(spark, docs, empty):
     ("<div class='page with-sidebar'><article><div class=article-header><h1>T</h1></div><p>in</p></article><div class=sidebar>no</div></div>", "T\nin"),
     ("<main><p>in</p></main><div id=comments><article class=comment-body><p>no</p></article></div><div class='cookieBar'>no</div>", "in"),
     ("<article><p>in</p><div class=related-posts>no</div><p>end</p><footer>no</footer><div class=article-footer>no</div></article>", "in\nend"),
+    ("<main><h1>T</h1><nav><a href=a>no</a></nav><p>in</p><div class=share><a href=b>no</a></div></main>", "T\nin"),
     ("<article><p>cut <b attr='", "cut"), ("<article><ul><li>a<li>b</ul></article>", "a\nb"),
 ])
 def test_html(page, want):
@@ -406,9 +407,67 @@ def test_html_open_head(page, want):
     assert html.main_text(page) == want
 
 
+def _unnamed_page(r):
+    """Markup without a class or telling element, and the labels of its blocks: links, a heading, paragraphs, teasers, an imprint."""
+    link = lambda n: f"<a href=x>{{{n}}}</a>"
+    parts = [f"<div>{link(r.randint(1, 3))}</div>" for _ in range(r.randint(1, 8))]
+    labels = "0" * len(parts)
+    if r.random() < 0.8:
+        parts.append(f"<h1>{{{r.randint(3, 12)}}}</h1>")
+        labels += "1"
+    n = r.randint(2, 9)
+    for i in range(n):
+        short = 0 < i < n - 1 and r.random() < 0.15
+        w = r.randint(1, 9) if short else r.randint(15, 140)
+        parts.append(f"<p>{{{w}}}" + (" " + link(r.randint(1, max(1, w // 6))) if not short and r.random() < 0.25 else "") + "</p>")
+        labels += "1"
+    for _ in range(r.randint(1, 5)):
+        parts.append(f"<div>{{{r.randint(1, 2)}}} {link(r.randint(4, 9))}</div>")
+        labels += "0"
+    if r.random() < 0.7:
+        parts.append(f"<div>{{{r.randint(3, 11)}}}</div>")
+        labels += "0"
+    return "".join(parts), labels
+
+
+def test_html_tree():
+    """The tree reads words, links and neighbours, and tells pages that name nothing (none of them labelled)."""
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, bool):
+            used.add(html.FEATURES[t[0]])
+            walk(t[2]), walk(t[3])
+
+    walk(html.TREE)
+    assert {"words", "links", "boiler"} <= used and used & {"words_before", "words_after"} and used & {"links_before", "links_after"}
+    assert all(html.is_main(html.TREE, r[:-1]) == bool(r[-1]) for r in html.rows(html.LABELLED))
+    r, right, n = random.Random(9), 0, 0
+    for _ in range(300):
+        markup, labels = _unnamed_page(r)
+        x = html.features(html.blocks(html.filled(markup)))
+        right += sum(html.is_main(html.TREE, f) == (y == "1") for f, y in zip(x, labels, strict=True))
+        n += len(labels)
+    assert right / n > 0.97
+
+
+def test_html_deep_and_unclosed_markup():
+    import time
+
+    began = time.perf_counter()
+    assert html.main_text("<article>" + "<div>" * 60_000 + "in" + "</p>" * 60_000) == "in"
+    assert html.main_text("<article>" + "<b>" * 60_000 + "<div></div>" * 60_000 + "in") == "in"
+    assert html.main_text("<article><b>" + "<div>" * 30_000 + "</b>" * 60_000 + "in") == "in"
+    assert html.main_text("<article><p>in<a '\"" + "'" * 200_000) == "in"
+    assert len(html.main_text("<article>" + "<p>long text " * 100_000)) == 10 * 100_000 - 1
+    assert time.perf_counter() - began < 20
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>in</article>", "old"), (2, "v", None, "old")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html.extracted(df).orderBy("page_id").collect()] == [(1, "in", 2), (2, "", 0)]
+    assert html.extracted(df.union(df)).count() == 4 and html.extracted(df.limit(0)).columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert html.extracted(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 1000, 73049, 10**15])
