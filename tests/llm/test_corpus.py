@@ -238,6 +238,10 @@ def test_top_k(spark):
         assert list(zip(-mine["score"], mine["vec_id"], strict=True)) == want and mine["rank"].tolist() == list(range(1, 11))
 
 
+def _pieces(t):
+    return {m[0] for m in re.finditer(r"[^.!?|\n]{1,40}[.!?|]*|[.!?|]+", t)}
+
+
 def test_fingerprints(docs):
     got = fingerprint.fingerprints_with_edits(docs).toPandas()
     rows = sorted({(r[0] is None, -(r[0] or 0), r[0], r[1] or "") for r in table()}, key=lambda r: r[:2])
@@ -248,24 +252,41 @@ def test_fingerprints(docs):
         m = len(t) // 3
         e = t[: len(t) - m] + n[:m]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-        assert (r.fingerprint == r.edited_fingerprint) == (t == e) and 0 <= r.near_next <= 1
-        if len(t) > 200 and len(set(t)) > 1:
-            assert r.near_edited > 0.4
+        assert (r.fingerprint == r.edited_fingerprint) == (t == e) and len(r.fingerprint) <= 64 + 64 * 9 + 12 + 128 * 8
+        for near, other in ((r.near_edited, e), (r.near_next, n)):
+            a, b = _pieces(t), _pieces(other)
+            want = 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+            assert abs(near - want) < (1e-9 if max(len(a), len(b)) <= 128 else 0.16)
     by_text = {}
     for r in got.itertuples():
         by_text.setdefault(nxt[None if pd.isna(r.doc_id) else int(r.doc_id)][0], set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v)) for v in by_text.values()}) == len(by_text)
 
 
-def test_fingerprints_locate_edits(spark):
+def _tree(t):
+    """The tree by its definition, but for the hash that ends sections."""
+    return [hashlib.sha256(p.encode()).hexdigest() for p in t.split("\n")]
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 60, 3000])
+def test_fingerprints_locate_edits(spark, n):
     from pyspark.sql import functions as F
 
-    a = "\n".join(f"Paragraph {i} of this text. It says {i * 7}." for i in range(60))
-    b = a.replace("Paragraph 31 of", "Paragraph 31 in")
+    a = "\n".join(f"Paragraph {i} of this text. It says {i * 7}." for i in range(n))
+    b = a.replace(f"Paragraph {n // 2} of", f"Paragraph {n // 2} in")
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    f = {c: fingerprint.fingerprint(F.col(c), fingerprint.piece_digests(F.col(c))) for c in "ab"}
-    r = df.select(f["a"].alias("x"), f["b"].alias("y")).select(fingerprint.differing_sections(F.col("x"), F.col("y")).alias("d"), fingerprint.fingerprint_likeness(F.col("x"), F.col("y")).alias("l"), F.size(F.split("x", "/")).alias("n")).first()
-    assert len(r["d"]) == 1 and r["n"] > 5 and 0.9 < r["l"] < 1
+    df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "x"), "b", "y")
+    r = df.select("x", "y", fingerprint.differing_sections(F.col("x"), F.col("y")).alias("d"), fingerprint.differing_sections(F.col("x"), F.col("x")).alias("none"), fingerprint.likeness(F.col("x"), F.col("y")).alias("l"), fingerprint.merkle_tree(F.col("a")).alias("t")).first()
+    nodes = r["x"].split(":")[1].split(".")
+    # where an edited paragraph ends or no longer ends a section, that section and the one after it differ
+    assert 1 <= len(r["d"]) <= 2 and r["none"] == [] and len(nodes) <= 64 and set(r["d"]) <= set(nodes)
+    assert [d for s in r["t"]["sections"] for d in s["paragraphs"]] == _tree(a)
+    assert r["t"]["root"] == r["x"].split(":")[0] and [s["node"][:8] for s in r["t"]["sections"]] == nodes
+    assert r["t"]["root"] == hashlib.sha256("".join(s["node"] for s in r["t"]["sections"]).encode()).hexdigest()
+    if 16 < n < 100:
+        assert 0.9 < r["l"] < 1
+    if n == 16:
+        assert len(nodes) == 16 and len(r["d"]) == 1
 
 
 def test_toxicity(spark):
