@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+#: A table of fewer bytes may lie in one row group, which would be one task's work; it is dealt over all cores first.
+SMALL_TABLE = 64 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -28,6 +36,8 @@ def staging_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="papyra-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -39,14 +49,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{staging_root(spark)}/papyra/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders written by `staged` and not removed since, oldest first.
+_WRITTEN: list[str] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the intermediate tables written inside it: for a caller who by then has written what reads them."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        gone, _WRITTEN[before:] = _WRITTEN[before:], []
+        for path in gone:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Removes all written intermediate tables; call it when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{staging_root(spark)}/papyra")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.clear()
+    remove(spark, f"{staging_root(spark)}/papyra")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

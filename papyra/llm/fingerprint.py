@@ -11,7 +11,7 @@ gives the whole tree. The fingerprint is of bounded size, whatever the text:
 Pieces are the leaves below paragraphs: runs that end after . ! ? or |, none longer than PIECE characters, so a text
 without sentence ends has leaves as well. The sketch is the SKETCH smallest of their distinct hashes, 8 hex digits each.
 Two fingerprints are compared from the root down: equal roots are equal texts, section nodes that differ name the places
-that were edited (`differing_sections`), and the sketches give how much of the leaves is shared (`likeness`): the Dice
+that were edited (`differing_sections`), and the sketches give how much of the leaves is shared (`with_likeness`): the Dice
 coefficient of the sets of pieces, exact where both have at most SKETCH pieces, else estimated from the smallest
 SKETCH hashes of both together (standard error 0.04 or less). Where content makes more than MOST_SECTIONS sections, the smallest of
 their nodes stand in the fingerprint; the root covers all.
@@ -43,29 +43,32 @@ def piece_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), lambda x: F.shiftrightunsigned(F.xxhash64(x), 32)))
 
 
-def _sections(text: Column) -> Column:
+def paragraph_nodes(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
+
+
+def _sections(nodes: Column) -> Column:
     """The paragraph nodes of each section, run together: array<string>."""
-    nodes = F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
-    # 4 ** ceil(log4(paragraphs / SECTIONS)), at least 1
-    power = F.pow(F.lit(4.0), F.ceil(F.greatest(F.lit(0.0), F.log(F.size(F.split(text, "\n")) / F.lit(float(SECTIONS))) / F.log(F.lit(4.0))))).cast("long")
-    marked = F.transform(nodes, lambda d: F.concat(d, F.when(F.pmod(F.xxhash64(d), power) == 0, "/").otherwise(".")))
+    # 4 ** ceil(log4(paragraphs / SECTIONS)), at least 1; repeated beside the nodes, for a lambda would compute it for each
+    power = F.pow(F.lit(4.0), F.ceil(F.greatest(F.lit(0.0), F.log(F.size(nodes) / F.lit(float(SECTIONS))) / F.log(F.lit(4.0))))).cast("long")
+    marked = F.zip_with(nodes, F.array_repeat(power, F.size(nodes)), lambda d, p: F.concat(d, F.when(F.pmod(F.xxhash64(d), p) == 0, "/").otherwise(".")))
     return F.filter(F.split(F.array_join(marked, ""), "/"), lambda s: s != "")
 
 
 def merkle_tree(text: Column) -> Column:
     """struct(root, sections array<struct(node, paragraphs array<string>)>): the whole tree of a text, not bounded."""
-    sections = F.transform(_sections(text), lambda s: F.struct(F.sha2(s, 256).alias("node"), F.filter(F.split(s, r"\."), lambda d: d != "").alias("paragraphs")))
+    sections = F.transform(_sections(paragraph_nodes(text)), lambda s: F.struct(F.sha2(s, 256).alias("node"), F.filter(F.split(s, r"\."), lambda d: d != "").alias("paragraphs")))
     return F.struct(F.sha2(F.array_join(F.transform(sections, lambda s: s["node"]), ""), 256).alias("root"), sections.alias("sections"))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with the fingerprint of a text column; the steps are columns of their own, so that each is evaluated once."""
-    nodes, pieces = f"{name}_nodes", f"{name}_pieces"
-    df = df.withColumn(nodes, F.transform(_sections(F.col(text)), lambda s: F.sha2(s, 256))).withColumn(pieces, piece_hashes(F.col(text)))
+    lines, nodes, pieces = f"{name}_lines", f"{name}_nodes", f"{name}_pieces"
+    df = df.withColumn(lines, paragraph_nodes(F.col(text))).withColumn(nodes, F.transform(_sections(F.col(lines)), lambda s: F.sha2(s, 256))).withColumn(pieces, piece_hashes(F.col(text)))
     shown = F.transform(F.when(F.size(nodes) <= MOST_SECTIONS, F.col(nodes)).otherwise(F.slice(F.array_sort(nodes), 1, MOST_SECTIONS)), lambda d: F.substring(d, 1, 8))
     sketch = F.transform(F.slice(F.array_sort(pieces), 1, SKETCH), _hex8)
     made = F.concat(F.sha2(F.array_join(nodes, ""), 256), F.lit(":"), F.array_join(shown, "."), F.lit(":"), F.lower(F.hex(F.size(pieces))), F.lit(":"), F.array_join(sketch, ""))
-    return df.withColumn(name, made).drop(nodes, pieces)
+    return df.withColumn(name, made).drop(lines, nodes, pieces)
 
 
 def _part(fingerprint: Column, i: int) -> Column:
@@ -76,15 +79,21 @@ def _sketch(fingerprint: Column) -> Column:
     return F.regexp_extract_all(_part(fingerprint, 3), F.lit("[0-9a-f]{8}"), F.lit(0))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of the pieces of two texts, from their fingerprints alone."""
-    x, y = _sketch(a), _sketch(b)
-    both = F.array_union(x, y)
-    whole = (F.length(_part(a, 2)) < 2) | (F.conv(_part(a, 2), 16, 10).cast("long") <= SKETCH)
-    whole = whole & ((F.length(_part(b, 2)) < 2) | (F.conv(_part(b, 2), 16, 10).cast("long") <= SKETCH))
-    seen = F.when(whole, both).otherwise(F.slice(F.array_sort(both), 1, SKETCH))
-    shared = F.size(F.array_intersect(F.array_intersect(x, y), seen)) / F.size(seen)
-    return F.when((_part(a, 0) == _part(b, 0)) | (F.size(both) == 0), F.lit(1.0)).otherwise(2 * shared / (1 + shared))
+def _whole(fingerprint: Column) -> Column:
+    """Whether the sketch holds all pieces."""
+    return (F.length(_part(fingerprint, 2)) < 2) | (F.conv(_part(fingerprint, 2), 16, 10).cast("long") <= SKETCH)
+
+
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with the Dice coefficient of the pieces of two texts, from their fingerprints alone. Steps are columns of their own,
+    so that each is evaluated once."""
+    x, y, both, shared, seen = (f"{name}_{s}" for s in ("x", "y", "both", "shared", "seen"))
+    df = df.withColumn(x, _sketch(F.col(a))).withColumn(y, _sketch(F.col(b))).withColumn(both, F.array_union(x, y)).withColumn(shared, F.array_intersect(x, y))
+    # hashes beyond the SKETCH smallest of both are known of neither text for sure
+    df = df.withColumn(seen, F.when(_whole(F.col(a)) & _whole(F.col(b)), F.lit(None).cast("array<string>")).otherwise(F.slice(F.array_sort(both), 1, SKETCH)))
+    share = F.when(F.col(seen).isNull(), F.size(shared) / F.size(both)).otherwise(F.size(F.array_intersect(shared, seen)) / F.size(seen))
+    same = (_part(F.col(a), 0) == _part(F.col(b), 0)) | (F.size(both) == 0)
+    return df.withColumn(name, F.when(same, F.lit(1.0)).otherwise(2 * share / (1 + share))).drop(x, y, both, shared, seen)
 
 
 def differing_sections(a: Column, b: Column) -> Column:
@@ -127,14 +136,15 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     met = rows.join(sent, ["k", "z", "h"]).withColumn("n_chars", F.length("text").cast("long"))
     met = met.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))"), F.col("opening")))
     met = with_fingerprint(met, "edited", "edited_fingerprint")
+    met = with_likeness(with_likeness(met, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
     return met.select(
         F.when(~F.col("z"), F.col("k")).alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 

@@ -276,7 +276,8 @@ def test_fingerprints_locate_edits(spark, n):
     b = a.replace(f"Paragraph {n // 2} of", f"Paragraph {n // 2} in")
     df = spark.createDataFrame([(a, b)], "a string, b string")
     df = fingerprint.with_fingerprint(fingerprint.with_fingerprint(df, "a", "x"), "b", "y")
-    r = df.select("x", "y", fingerprint.differing_sections(F.col("x"), F.col("y")).alias("d"), fingerprint.differing_sections(F.col("x"), F.col("x")).alias("none"), fingerprint.likeness(F.col("x"), F.col("y")).alias("l"), fingerprint.merkle_tree(F.col("a")).alias("t")).first()
+    df = fingerprint.with_likeness(df, "x", "y", "l")
+    r = df.select("x", "y", "l", fingerprint.differing_sections(F.col("x"), F.col("y")).alias("d"), fingerprint.differing_sections(F.col("x"), F.col("x")).alias("none"), fingerprint.merkle_tree(F.col("a")).alias("t")).first()
     nodes = r["x"].split(":")[1].split(".")
     # where an edited paragraph ends or no longer ends a section, that section and the one after it differ
     assert 1 <= len(r["d"]) <= 2 and r["none"] == [] and len(nodes) <= 64 and set(r["d"]) <= set(nodes)
