@@ -10,15 +10,17 @@ edges between neighbours weigh 0 where that holds and minus infinity elsewhere,
     of weights (0 or minus infinity) from the states at its left cut to those at its right one. Inside a chunk all states
     meet at the first word start, so the scan is over a few characters at each end; a run without word starts is scanned
     whole, states that have met going on as one;
- 3. the matrices of a document are multiplied in (max, +), an associative product, from both sides, which leaves one
-    state at each cut;
+ 3. the matrices of a document are multiplied in (max, +), an associative product, in a tree: FAN neighbours at a time give
+    the matrix of their span, level by level, until FAN spans or fewer are left. From the top down, each span's two states
+    then fix the states at the cuts inside it. No task holds more than FAN matrices, however long the document;
  4. every chunk is then traced on its own between its two states.
 
 No piece reaches over a word start or a line feed, so what lies between the first and the last word start of a chunk is
 segmented by the library itself; short documents are chunks with both states known.
 
-Output rows are chunks (chunk_no from 0), so that no giant id list has to be held in one row. Defined results: a null or
-empty text has one chunk with no ids; repeated rows are encoded each on its own; decoding joins the chunks' pieces and
+Output rows are chunks (chunk_no from 0) of rows (rid, a number of their own), so that no giant id list has to be held in
+one row. Defined results: a null or empty text has one chunk with no ids; repeated rows and ids, null ones too, are encoded
+each on its own; an empty table has no rows; other columns of docs are not read; decoding joins the chunks' pieces and
 drops the one space that encoding puts before a text. A U+2581 in a text is a space to the model and comes back as one.
 """
 
@@ -39,6 +41,8 @@ from papyra.llm.common import read, staged
 MODEL = "piece_bpe_32k.model"
 CHUNK = 1 << 15
 CACHE_PAIRS = 300_000
+#: Neighbouring matrices that one task multiplies.
+FAN = 64
 SPACE = "▁"
 
 
@@ -250,18 +254,37 @@ def _matrices(path: str):
     return run
 
 
-def combine(rows: list[tuple]) -> list[tuple[tuple[int, str], tuple[int, str] | None]]:
-    """The state at both cuts of each chunk. rows: (in states, out states, entries of each out state), in order.
+State = tuple[int, str]
+Matrix = tuple[list[State], list[State], list[list[int]]]  # states at the left and right cut; entries of each right one
 
-    Reachable states go forward (prefix products applied to the start), then the one path is taken back from the end."""
-    alive = [{(0, "")}]
+
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """(max, +) product of the matrices of two neighbouring spans; the weights are 0 (listed) and minus infinity."""
+    rows = {state: set(sources) for state, sources in zip(a[1], a[2], strict=True)}
+    through = [rows.get(state, set()) for state in b[0]]
+    merged = [sorted(set().union(*(through[k] for k in sources))) for sources in b[2]]
+    keep = [i for i, sources in enumerate(merged) if sources]
+    return a[0], [b[1][i] for i in keep], [merged[i] for i in keep]
+
+
+def span(matrices: list[Matrix]) -> Matrix:
+    """Product of neighbours in pairs, then of the pairs, and so on."""
+    while len(matrices) > 1:
+        pairs = [product(x, y) for x, y in zip(matrices[::2], matrices[1::2], strict=False)]
+        matrices = pairs + matrices[len(matrices) - len(matrices) % 2 :]
+    return matrices[0]
+
+
+def combine(rows: list[Matrix], entry: State = (0, ""), leave: State | None = None) -> list[tuple[State, State]]:
+    """The states at both cuts of each of some neighbouring spans, given those at the outer cuts (by default of a whole
+    document: reachable states go forward from the entry, then the one path is taken back from the end)."""
+    alive = [{entry}]
     for ins, outs, sources in rows:
-        index = {s: k for k, s in enumerate(ins)}
-        here = {index[s] for s in alive[-1] if s in index}
+        here = {k for k, s in enumerate(ins) if s in alive[-1]}
         alive.append({o for o, src in zip(outs, sources, strict=True) if here.intersection(src)})
-    if not alive[-1]:
+    if not alive[-1] or (leave is not None and leave not in alive[-1]):
         raise RuntimeError("no path through the chunks")
-    state = min(alive[-1])
+    state = min(alive[-1]) if leave is None else leave
     back = [state]
     for (ins, outs, sources), before in zip(reversed(rows), reversed(alive[:-1]), strict=True):
         src = sources[outs.index(state)]
@@ -271,13 +294,42 @@ def combine(rows: list[tuple]) -> list[tuple[tuple[int, str], tuple[int, str] |
     return list(zip(back[:-1], back[1:], strict=True))
 
 
+def _read_matrices(pdf: pd.DataFrame) -> list[Matrix]:
+    return [(list(zip(a, b, strict=True)), list(zip(c, d, strict=True)), [list(x) for x in e]) for a, b, c, d, e in zip(pdf["in_at"], pdf["in_piece"], pdf["out_at"], pdf["out_piece"], pdf["from_in"], strict=True)]
+
+
+def _span(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("chunk_no")
+    ins, outs, sources = span(_read_matrices(pdf))
+    return pd.DataFrame([(pdf["rid"].iloc[0], pdf["grp"].iloc[0], [a for a, _ in ins], [b for _, b in ins], [a for a, _ in outs], [b for _, b in outs], sources)], columns=["rid", "chunk_no", "in_at", "in_piece", "out_at", "out_piece", "from_in"])
+
+
 def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("chunk_no")
-    rows = [(list(zip(a, b, strict=True)), list(zip(c, d, strict=True)), [list(x) for x in e]) for a, b, c, d, e in zip(pdf["in_at"], pdf["in_piece"], pdf["out_at"], pdf["out_piece"], pdf["from_in"], strict=True)]
-    got = combine(rows)
+    known = [(pdf["e_at"].iloc[0], pdf["e_piece"].iloc[0]), (pdf["l_at"].iloc[0], pdf["l_piece"].iloc[0])] if "e_at" in pdf else []
+    got = combine(_read_matrices(pdf), *known)
     return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "chunk_no": pdf["chunk_no"].to_numpy(), "e_at": [a[0] for a, _ in got], "e_piece": [a[1] for a, _ in got], "l_at": [b[0] for _, b in got], "l_piece": [b[1] for _, b in got]})
 
 
+_MATRIX = "rid long, chunk_no int, in_at array<int>, in_piece array<string>, out_at array<int>, out_piece array<string>, from_in array<array<int>>"
+_STATES = "rid long, chunk_no int, e_at int, e_piece string, l_at int, l_piece string"
+
+
+def boundary_states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """matrices of chunks, a written table -> the states at both cuts of each chunk. The tree has log(chunks) / log(fan) levels."""
+    most, levels = matrices.agg(F.max("chunk_no")).first()[0] or 0, [matrices]
+    group = F.floor(F.col("chunk_no") / fan).cast("int")
+    while most >= fan:
+        up = levels[-1].withColumn("grp", group).groupBy("rid", "grp").applyInPandas(_span, _MATRIX)
+        levels.append(staged(up, "pieces-spans"))
+        most //= fan
+    states = levels.pop().groupBy("rid").applyInPandas(_combine, _STATES)  # at most fan rows of each document
+    while levels:
+        known = states.withColumnRenamed("chunk_no", "grp")
+        states = levels.pop().withColumn("grp", group).join(known, ["rid", "grp"]).groupBy("rid", "grp").applyInPandas(_combine, _STATES)
+    return states
+
+
 def _trace(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = bpe(path)
@@ -292,7 +344,7 @@ def _trace(path: str):
     return run
 
 
-def encoded(docs: DataFrame, chunk_chars: int = CHUNK, path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, chunk_chars: int = CHUNK, path: str | None = None, fan: int = FAN) -> DataFrame:
     """docs (doc_id, text) -> doc_id, rid (one number for each row of docs), chunk_no, ids (little-endian 32-bit)."""
     path = path or model_path()
     reach = bpe(path).longest
@@ -312,8 +364,8 @@ def encoded(docs: DataFrame, chunk_chars: int = CHUNK, path: str | None = None)
         ((F.col("chunk_no") + 1) * chunk_chars >= F.col("n")).alias("final"),
     )
     parts = staged(parts.repartition("rid", "chunk_no"), "pieces-chunks")
-    matrices = parts.select("rid", "chunk_no", "part", "left", "size", "first", "final").mapInPandas(_matrices(path), "rid long, chunk_no int, in_at array<int>, in_piece array<string>, out_at array<int>, out_piece array<string>, from_in array<array<int>>")
-    states = matrices.groupBy("rid").applyInPandas(_combine, "rid long, chunk_no int, e_at int, e_piece string, l_at int, l_piece string")
+    matrices = parts.select("rid", "chunk_no", "part", "left", "size", "first", "final").mapInPandas(_matrices(path), _MATRIX)
+    states = boundary_states(staged(matrices, "pieces-matrices"), fan)
     traced = parts.join(states, ["rid", "chunk_no"]).mapInPandas(_trace(path), "rid long, doc_id long, chunk_no int, ids binary")
     return short.select("doc_id", "rid", "chunk_no", "ids").union(traced.select("doc_id", "rid", "chunk_no", "ids"))
 
@@ -354,4 +406,4 @@ def decoded(chunks: DataFrame, path: str | None = None) -> DataFrame:
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     out = decoded(encoded(read(spark, sf_dir, "documents")))
-    return out.select("doc_id", "chunk_no", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), "ids", F.crc32("ids").alias("ids_crc32"), F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32("decoded").alias("decoded_crc32"))
+    return out.select("doc_id", "rid", "chunk_no", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), "ids", F.crc32("ids").alias("ids_crc32"), F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32("decoded").alias("decoded_crc32"))

@@ -203,6 +203,49 @@ def test_shortest_pack_first():
     assert sorted(flat) == [2, 2, 3, 3, 3, 3, 5, 5, 5, 10] and all(sum(p) <= 10 for p, _ in got)
 
 
+def test_sentencepiece_products():
+    """The product is associative: every bracketing of random matrices gives one span, and the span the ends of the path."""
+    rnd = random.Random(8)
+    for _ in range(60):
+        n = rnd.randint(2, 7)
+        cuts = [[(0, "")], *[[(k, f"s{k}") for k in range(rnd.randint(1, 5))] for _ in range(n)]]
+        chain = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            rows = [[k for k in range(len(a)) if rnd.random() < 0.6] for _ in b]
+            chain.append((a, [s for s, r in zip(b, rows, strict=True) if r], [r for r in rows if r]))
+
+        def bracket(x):
+            if len(x) == 1:
+                return x[0]
+            k = rnd.randint(1, len(x) - 1)
+            return sentencepiece.product(bracket(x[:k]), bracket(x[k:]))
+
+        want = sentencepiece.span(chain)
+        assert all(bracket(chain) == want for _ in range(5))
+        if want[1]:
+            path = sentencepiece.combine(chain)
+            assert path[0][0] == (0, "") and path[-1][1] == min(want[1])
+            k = rnd.randint(1, len(chain) - 1)
+            ends = sentencepiece.combine([sentencepiece.span(chain[:k]), sentencepiece.span(chain[k:])])
+            assert ends[-1][1] == path[-1][1]
+            inner = sentencepiece.combine(chain[:k], *ends[0]) + sentencepiece.combine(chain[k:], *ends[1])
+            assert inner[0][0] == path[0][0] and inner[k - 1][1] == ends[0][1] == inner[k][0]
+        else:
+            with pytest.raises(RuntimeError):
+                sentencepiece.combine(chain)
+
+
+@pytest.mark.parametrize("text", ["the" * 2000, "a quite plain text of words. " * 300, "日本語テキスト" * 900])
+def test_sentencepiece_tree(spark, text):
+    """Three levels of spans."""
+    m = sentencepiece.bpe(sentencepiece.model_path())
+    df = spark.createDataFrame([(1, text), (1, text), (None, text[:3000])], "doc_id long, text string")
+    got = sentencepiece.encoded(df, 101, fan=3).toPandas().sort_values(["rid", "chunk_no"])
+    assert got["rid"].nunique() == 3
+    for _, g in got.groupby("rid"):
+        assert np.frombuffer(b"".join(g["ids"]), "<i4").tolist() == m.sp.encode(text if g["doc_id"].notna().all() else text[:3000])
+
+
 def test_sentencepiece(docs):
     m = sentencepiece.bpe(sentencepiece.model_path())
     got = sentencepiece.decoded(sentencepiece.encoded(docs, 64)).toPandas().sort_values(["rid", "chunk_no"])
