@@ -1,16 +1,20 @@
 """The corpus pipeline: quality, toxicity, near-duplicates, pseudonyms, packing, each stage over all its predecessor kept.
 
-Stages but the last return the columns of documents. Null and empty texts are scored like any other; of a class of near
-duplicates the document with the smallest id stays (every row of it, if that id is repeated with that text).
+Stages but the last return the columns of documents. Null and empty texts are scored like any other. Of a class of near
+duplicates one row stays, that of the smallest id; rows without an id come after all others, by a hash of their text, and
+rows that repeat an id and its text are one document. With no labels, or none of both classes, the classifiers keep
+everything. A stage's intermediate tables are removed once it is written, and a stage's table once the next one is.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import dedup, packing, pii, quality, toxicity
-from papyra.llm.common import fresh, read, staging_root
+from papyra.llm.common import fresh, read, remove, staged, staging, staging_root
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,10 +37,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more."""
-    keep, who = fresh(docs, "dedup_keep", "dedup_id")
-    classes = dedup.near_duplicates(docs.select("doc_id", "text"), dedup.MinHash(words=5, percent=80))
-    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias(who)).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[who], "left_anti")
+    node, keep = fresh(docs, "dedup_node", "dedup_keep")
+    # rows without an id: a number above all ids, so that equal texts share it
+    unnamed = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    marked = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    classes = dedup.near_duplicates(marked.select(F.col(node).alias("doc_id"), "text"), dedup.MinHash(words=5, percent=80))
+    classes = staged(classes, "dedup-classes")
+    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias(keep)).distinct()
+    rest = marked.join(gone, F.col(node) == F.col(keep), "left_anti")
+    # rows that share an id are few or none; only they are compared by their texts
+    repeated = classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(keep))
+    once = rest.join(repeated, F.col(node) == F.col(keep), "left_anti")
+    again = rest.join(repeated, F.col(node) == F.col(keep), "left_semi").dropDuplicates([node, "text"])
+    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +76,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder and read again."""
-    import uuid
-
     docs = read(spark, sf_dir, "documents")
-    root = f"{staging_root(spark)}/papyra/pipeline-{uuid.uuid4().hex}"
+    root, before = f"{staging_root(spark)}/papyra/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{i}-{name}")
-        docs = spark.read.parquet(f"{root}/{i}-{name}")
+        with staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}-{name}")
+        if before:
+            remove(spark, before)
+        before = f"{root}/{i}-{name}"
+        docs = spark.read.parquet(before)
     return docs
