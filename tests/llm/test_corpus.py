@@ -622,21 +622,58 @@ def test_empty_tables(spark, empty):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 2 == 0).count() == 0
 
 
+def _folder(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    sf = _folder(spark, tmp_path, docs, labels)
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, now, str(tmp_path))
+        out = stage(spark, now, sf)
         if name != "packing":
             assert out.columns == now.columns
         if name in ("quality", "toxicity", "pii"):  # nothing is labelled bad here
             assert out.count() == now.count()
         if name == "near_dedup":
             want = brute_components({(r[0], r[1]) for r in table() if r[0] is not None}, 5)
-            assert sorted(r[0] for r in out.select("doc_id").distinct().collect() if r[0] is not None) == sorted(i for i, (_, c) in want.items() if i == c)
+            ids = [r[0] for r in out.select("doc_id").collect() if r[0] is not None]
+            assert sorted(ids) == sorted(i for i, (_, c) in want.items() if i == c)
         now = out
     assert now.count() > 0
+
+
+def test_pipeline_folds_repeated_rows(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    a, b, c = words(rnd, 80), words(rnd, 80), words(rnd, 80)
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (None, b), (None, c), (None, c), (None, c + " end"), (7, None), (7, None), (8, ""), (9, "")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, dedup_node int")
+    got = corpus_pipeline.dedup_stage(spark, df, "").select("doc_id", "text").collect()
+    named = [tuple(r) for r in got if r[0] is not None]
+    assert sorted(named, key=str) == sorted([(1, a), (3, b), (7, None), (8, ""), (9, "")], key=str)
+    assert [r[1] in (c, c + " end") for r in got if r[0] is None] == [True]
+    assert corpus_pipeline.dedup_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_pipeline_of_odd_folders(spark, empty, docs, tmp_path):
+    """Empty documents, empty labels; nothing but the last stage's table stays."""
+    import glob
+
+    import corpus_pipeline
+
+    from papyra.llm import common
+
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert corpus_pipeline.run(spark, _folder(spark, tmp_path / "a", empty, none)).count() == 0
+    common.clear_staging(spark)
+    out = corpus_pipeline.run(spark, _folder(spark, tmp_path / "b", docs, none))
+    assert out.select("doc_id").distinct().count() == len({r[0] for r in table()} - {100 + k for k in range(1, 12)} - {203, 205})
+    left = glob.glob(common.staging_root(spark).removeprefix("file:") + "/papyra/*")
+    assert len(left) == 1 and [x.rsplit("/", 1)[1] for x in glob.glob(left[0] + "/*")] == ["4-packing"]
