@@ -2,22 +2,28 @@
 
 Vectors become integers, floor(scale * x). With one more component that fills every vector up to the largest norm, the
 order of inner products is the order of Euclidean distances (d^2 = |q|^2 + M^2 - 2 ip), a metric, in which the tree
-prunes. All bounds are compared on squared integers with a safe margin; ranks come from the exact integers.
-
-Rows are dealt to pages: to the nearest of at most PIVOTS pivots (from a bounded sample; every row is indexed), and, so
-that one point or a dense region cannot fill a task, into even sub-pages of page_rows(n) rows or so. A page holds an
-M-tree: leaf nodes of LEAF entries around a routing object, with covering radius and stored distances of the entries
-to it, and inner nodes of FAN nodes likewise. Every query first searches the pages of its nearest pivot, which bounds
-its k-th distance; it then visits only the pages that the covering radii cannot rule out.
+prunes. Bounds are floating-point distances with a margin above rounding; ranks come from the exact integers.
+
+The upper levels are routing objects: up to PIVOTS of them, chosen from a bounded sample by splitting it again and again
+between two rows far apart; every row is indexed, under its nearest one. A region with more than page_rows(n) rows is cut
+into pages by distance to its routing object (shells between its percentiles), each with the least and largest of these
+stored parent distances; what lies at one distance, such as copies of a point, is dealt evenly over pages of one shell.
+A page's M-tree is built once and stored: leaf nodes of LEAF entries around a routing object, with covering radius and
+stored distances of the entries to it, and inner nodes of FAN nodes likewise. A query first searches the pages of its
+own region whose shell its own distance falls in, which bounds its k-th distance; it then visits only the pages that
+the triangle inequality cannot rule out by their stored distances. Queries of one region go together in blocks of
+QUERIES, so a page is read once for each block of queries that lie near each other and need it.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count
 as padded with zeros; equal scores go to the smaller id; of a query id that comes in several rows the smallest vector
-is searched; rows that share the query's id are not its neighbours; a query with no other row has no result rows.
+is searched; rows that share the query's id are not its neighbours; a query with no other row has no result rows; an empty
+table has none; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,9 @@ from pyspark.sql import functions as F
 
 from papyra.llm.common import read, staged
 
-PIVOTS, SAMPLE, LEAF, FAN, QUERIES = 64, 4096, 64, 16, 1024
+PIVOTS, SAMPLE, LEAF, FAN, QUERIES = 1024, 32768, 64, 16, 1024
+#: Most shells of a region.
+SHELLS = 64
 
 
 def page_rows(n: int) -> int:
@@ -118,38 +126,64 @@ def _augmented(v: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([v.astype(np.float64), np.sqrt(np.maximum(rest.astype(np.float64), 0))[:, None]], axis=1)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0))
+def routing_objects(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` rows: the sample is halved between two rows far apart, the largest part next, and each part gives the row
+    that is nearest to its mean."""
+    parts = [(-len(sample), 0, np.arange(len(sample)))]
+    done, n = [], 1
+    while parts and len(parts) + len(done) < most:
+        _, _, part = heapq.heappop(parts)
+        x = sample[part]
+        a = x[((x - x[0]) ** 2).sum(axis=1).argmax()]
+        da = ((x - a) ** 2).sum(axis=1)
+        if len(part) < 2 or da.max() == 0:
+            done.append(part)
+            continue
+        rank = np.argsort(da - ((x - x[da.argmax()]) ** 2).sum(axis=1), kind="stable")
+        for half in (part[rank[: len(part) // 2]], part[rank[len(part) // 2 :]]):
+            heapq.heappush(parts, (-len(half), n, half))
+            n += 1
+    done += [p for _, _, p in parts]
+    return np.stack([sample[p[((sample[p] - sample[p].mean(axis=0)) ** 2).sum(axis=1).argmin()]] for p in done])
 
 
 def _place(pivots: np.ndarray, most: int):
+    square = (pivots**2).sum(axis=1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = _augmented(np.stack(pdf["v"].to_numpy()).astype(np.int64), most)
-            best = np.full(len(x), np.inf)
-            at = np.zeros(len(x), np.int32)
-            for i, p in enumerate(pivots):
-                d = np.sqrt(((x - p) ** 2).sum(axis=1))
-                near = d < best
-                at[near], best[near] = i, d[near]
-            yield pdf.assign(pivot=at, dist=best)
+            at = (square[None, :] - 2 * (x @ pivots.T)).argmin(axis=1).astype(np.int32)  # any choice is right, the nearest is best
+            yield pdf.assign(pivot=at, dist=np.sqrt(((x - pivots[at]) ** 2).sum(axis=1)))
+
+    return run
+
+
+def _build(most: int):
+    def run(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(page["v"].to_numpy()).astype(np.int64)
+        tree = MTree(_augmented(v, most))
+        tree.x = None  # the integers are enough
+        return pd.DataFrame([(*key, float(page["dist"].min()), float(page["dist"].max()), pickle.dumps((tree, v, page["vec_id"].to_numpy())))], columns=["pivot", "shell", "part", "low", "high", "tree"])
 
     return run
 
 
 def _search(k: int, most: int):
-    def run(key: tuple, page: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(page) and len(asked):
-            v, ids = np.stack(page["v"].to_numpy()).astype(np.int64), page["vec_id"].to_numpy()
-            tree = MTree(_augmented(v, most))
-            for qid, q, limit in zip(asked["query_id"].tolist(), asked["v"], asked["limit"].tolist(), strict=True):
-                q = np.asarray(q, np.int64)
-                tree.total = float((q * q).sum()) + float(most)
-                best: list[tuple[int, int]] = []
-                tree.search(np.append(q.astype(np.float64), 0.0), lambda at, q=q: v[at] @ q, k, best, qid, ids, limit)
-                out += [(qid, -j, s) for s, j in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+    """Rows: a page's tree and the queries of a block that are to search it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for blob, asked in zip(pdf["tree"], pdf["asked"], strict=True):
+                tree, v, ids = pickle.loads(blob)
+                out: list[tuple[int, int, int]] = []
+                for a in asked:
+                    q = np.asarray(a["v"], np.int64)
+                    tree.total = float((q * q).sum()) + float(most)
+                    best: list[tuple[int, int]] = []
+                    tree.search(np.append(q.astype(np.float64), 0.0), lambda at, q=q, v=v: v[at] @ q, k, best, a["query_id"], ids, a["limit"])
+                    out += [(a["query_id"], -j, s) for s, j in best]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     return run
 
@@ -170,48 +204,60 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     x = x.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("v")))) if dims else x
-    some = x.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE).toPandas()  # bounded
+    some = x.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(min(SAMPLE, max(64, n // 4))).toPandas()  # bounded
     sample = _augmented(np.stack(some["v"].to_numpy()).astype(np.int64), most)
-    pivots, d = [0], np.sqrt(((sample - sample[0]) ** 2).sum(axis=1))
-    while len(pivots) < min(PIVOTS, -(-2 * n // page_rows(n))) and d.max() > 0:  # each next pivot is the farthest row of the sample
-        pivots.append(int(d.argmax()))
-        d = np.minimum(d, np.sqrt(((sample - sample[pivots[-1]]) ** 2).sum(axis=1)))
-    centres = sample[pivots]
+    centres = routing_objects(sample, max(1, min(PIVOTS, -(-2 * n // page_rows(n)))))
     placed = staged(x.mapInPandas(_place(centres, most), "vec_id long, v array<long>, pivot int, dist double"), "mtree-rows")
-    cells = {r[0]: (r[1], r[2]) for r in placed.groupBy("pivot").agg(F.count("*"), F.max("dist")).collect()}  # at most PIVOTS rows
-    parts = {p: -(-c // page_rows(n)) for p, (c, _) in cells.items()}
-    split = spark.createDataFrame(sorted(parts.items()), "pivot int, parts long")
-    pages = placed.join(F.broadcast(split), "pivot").withColumn("part", F.pmod(F.xxhash64("vec_id", F.rand(5)), F.col("parts")).cast("int")).select("pivot", "part", "vec_id", "v")
+
+    cells = placed.groupBy("pivot").agg(F.count("*").alias("rows"), F.percentile_approx("dist", F.lit([i / SHELLS for i in range(1, SHELLS)])).alias("cuts"))
+    size = F.lit(page_rows(n))
+    # as many shells as pages, SHELLS at most: every step-th percentile is a cut
+    cells = cells.withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(SHELLS) * size / F.col("rows")).cast("int")))
+    cells = cells.withColumn("cuts", F.array_distinct(F.filter(F.transform("cuts", lambda c, i: F.when(F.pmod(i + 1, F.col("step")) == 0, c)), lambda c: c.isNotNull())))
+    shelled = placed.join(F.broadcast(cells.select("pivot", "cuts")), "pivot")  # at most PIVOTS rows
+    shelled = shelled.withColumn("shell", F.size(F.filter("cuts", lambda c: c < F.col("dist")))).drop("cuts")
+    parts = shelled.groupBy("pivot", "shell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    shelled = shelled.join(F.broadcast(parts), ["pivot", "shell"])  # at most PIVOTS * SHELLS rows
+    shelled = shelled.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int"))  # of a written table: the same on a retry
+    pages = shelled.select("pivot", "shell", "part", "vec_id", "v", "dist").groupBy("pivot", "shell", "part").applyInPandas(_build(most), "pivot int, shell int, part int, low double, high double, tree binary")
     pages = staged(pages, "mtree-pages")
-    queries = placed.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "pivot")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.v", "q.pivot")
+
+    queries = placed.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "pivot", "dist")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.v", "q.pivot", "q.dist")
+    counts = queries.groupBy("pivot").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    queries = queries.join(F.broadcast(counts), "pivot").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumnRenamed("pivot", "home").drop("blocks")
     queries = staged(queries, "mtree-queries")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERIES)))).cast("int")
+    slim = pages.select("pivot", "shell", "part", "low", "high")  # a row for each page
 
     def searched(asked: DataFrame) -> DataFrame:
-        """asked: query_id, v, pivot, limit. Queries meet pages in blocks of QUERIES or so."""
-        dealt = asked.join(F.broadcast(split), "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).withColumn("block", block)
-        dealt = staged(dealt, "mtree-dealt")
-        wanted = dealt.select("pivot", "part", "block").distinct()
-        rows = pages.join(wanted, ["pivot", "part"]).toDF("pivot", "part", "vec_id", "v", "block")
-        return rows.groupBy("pivot", "part", "block").cogroup(dealt.groupBy("pivot", "part", "block")).applyInPandas(_search(k, most), "query_id long, vec_id long, score long")
+        """asked: query_id, v, home, block, limit, pivot, shell, part. Each page meets each block that asks for it once."""
+        grouped = asked.groupBy("pivot", "shell", "part", "home", "block").agg(F.collect_list(F.struct("query_id", "v", "limit")).alias("asked"))  # about QUERIES at most
+        return pages.join(grouped, ["pivot", "shell", "part"]).select("tree", "asked").mapInPandas(_search(k, most), "query_id long, vec_id long, score long")
 
     far = 4.0 * float(most) ** 0.5 + 1
-    first = staged(_best(searched(queries.withColumn("limit", F.lit(far))), k).drop("rank"), "mtree-first")
+    own = (F.col("home") == F.col("pivot")) & (F.col("low") <= F.col("dist")) & (F.col("dist") <= F.col("high"))
+    near = staged(queries.join(slim, own).withColumn("limit", F.lit(far)), "mtree-near")
+    first = staged(_best(searched(near), k).drop("rank"), "mtree-first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s"))
-    radii = np.array([cells.get(i, (0, -1.0))[1] for i in range(len(centres))])
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The regions that a query's bound reaches into, by distance to their routing object."""
         for pdf in batches:
             out = []
-            for qid, v, home, c, s in zip(pdf["query_id"], pdf["v"], pdf["pivot"], pdf["c"], pdf["s"], strict=True):
+            for qid, v, home, block, c, s, reach in zip(pdf["query_id"], pdf["v"], pdf["home"], pdf["block"], pdf["c"], pdf["s"], pdf["reach"], strict=True):
                 q = np.append(np.asarray(v, np.float64), 0.0)
                 limit = bound(float(q @ q) + most, int(s)) if c == k else far
                 d = np.sqrt(((centres - q) ** 2).sum(axis=1))
-                out += [(qid, v, int(p), limit) for p in np.flatnonzero((d - radii <= limit) & (radii >= 0)) if p != home]
-            yield pd.DataFrame(out, columns=["query_id", "v", "pivot", "limit"]).astype({"query_id": "int64", "pivot": "int32", "limit": "float64"})
-
-    more = queries.join(kth, "query_id", "left").fillna(0, ["c", "s"]).mapInPandas(visits, "query_id long, v array<long>, pivot int, limit double")
-    rest = searched(staged(more, "mtree-visits"))
+                wide = np.full(len(centres), -np.inf)
+                wide[[r["pivot"] for r in reach]] = [r["high"] for r in reach]
+                out += [(qid, v, home, block, limit, int(p), float(d[p])) for p in np.flatnonzero(d - wide <= limit)]
+            yield pd.DataFrame(out, columns=["query_id", "v", "home", "block", "limit", "pivot", "d"]).astype({"query_id": "int64", "home": "int32", "block": "int32", "limit": "float64", "pivot": "int32", "d": "float64"})
+
+    reach = slim.groupBy("pivot").agg(F.max("high").alias("high")).agg(F.collect_list(F.struct("pivot", "high")).alias("reach"))  # at most PIVOTS entries
+    more = queries.join(kth, "query_id", "left").fillna(0, ["c", "s"]).crossJoin(F.broadcast(reach))  # one row
+    more = more.mapInPandas(visits, "query_id long, v array<long>, home int, block int, limit double, pivot int, d double")
+    met = more.join(slim, "pivot").where((F.col("d") - F.col("limit") <= F.col("high")) & (F.col("d") + F.col("limit") >= F.col("low")))
+    done = near.select("query_id", "pivot", "shell", "part")
+    rest = searched(staged(met.join(done, ["query_id", "pivot", "shell", "part"], "left_anti"), "mtree-visits"))
     return _best(first.union(rest), k).select("query_id", "rank", "vec_id", "score")
 
 

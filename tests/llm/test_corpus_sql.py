@@ -1,6 +1,10 @@
 """The corpus queries that SQL can say, next to DuckDB, on the smallest tables; and the rows of all."""
 
+import re
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
 
 from papyra.llm.queries import ORACLE, QUERIES
@@ -40,3 +44,49 @@ def test_contract(spark, name):
         assert TYPES.get(c) in (None, kind), (c, kind)
     score = dict(out.dtypes).get("score")
     assert score in (None, "bigint" if name.startswith("op8") else "double")
+
+
+def _plain(spark, table):
+    return spark.read.parquet(f"{SF}/{table}.parquet").toPandas()
+
+
+def test_op1_against_the_library(spark):
+    from papyra.llm import sentencepiece
+
+    sp = sentencepiece.bpe(sentencepiece.model_path()).sp
+    got = QUERIES["op1_sentencepiece"](spark, SF).toPandas().sort_values(["doc_id", "rid", "chunk_no"])
+    texts = _plain(spark, "documents").set_index("doc_id")["text"]
+    assert got["rid"].nunique() == len(texts)
+    for i, g in got.groupby("doc_id"):
+        t = texts[i] or ""
+        ids = np.array(sp.encode(t), "<i4").tobytes()
+        assert b"".join(map(bytes, g["ids"])) == ids and g["n_ids"].sum() == len(ids) // 4 and g["decoded_bytes"].sum() == len(t.encode())
+        if len(g) == 1:
+            assert g["ids_crc32"].iloc[0] == zlib.crc32(ids) and g["decoded_crc32"].iloc[0] == zlib.crc32(t.encode())
+
+
+def test_op3_values(spark):
+    got = QUERIES["op3_hypergeometric_sharding"](spark, SF).toPandas()
+    texts = _plain(spark, "documents").set_index("doc_id")["text"]
+    assert sorted(got["doc_id"]) == sorted(texts.index) and set(got["law"]) == {"rows"} and got["grown_shard"].isna().all()
+    for r in got.itertuples():
+        b = (texts[r.doc_id] or "").encode()
+        assert r.size == len(b) + 1 and r.text_crc32 == zlib.crc32(b)
+    n = got.groupby("shard").size()
+    assert sorted(n.index) == list(range(8)) and n.max() - n.min() <= 1 and all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_op9_against_the_function(spark):
+    from papyra.llm import pii
+
+    got = QUERIES["op9_feistel_pseudonyms"](spark, SF).toPandas()
+    key, texts = pii.session_key(spark), _plain(spark, "documents").set_index("doc_id")["text"]
+    assert sorted(got["doc_id"]) == sorted(texts.index)
+    changed = 0
+    for r in got.itertuples():
+        want, counts = pii.replaced(texts[r.doc_id], key)
+        assert r.text == want and all(getattr(r, f"n_{k}") == counts.get(k, 0) for k in pii.KINDS)
+        changed += want != texts[r.doc_id]
+    assert changed > 5
+    # nothing that is found in the source stands in the result, but for what the permutation may give again by chance
+    assert sum(1 for r in got.itertuples() if r.text and any(m in r.text for m in re.findall(r"[\w.]+@[\w.]+\.[a-z]+", texts[r.doc_id]))) == 0
