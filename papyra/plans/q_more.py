@@ -94,11 +94,13 @@ def e13_evidence_windows(v):
     """No SQL: a greedy choice of windows; tests hold it against a plain loop."""
     import pandas as pd
 
+    from papyra.operators.evidence import evidence_windows
+
     groups = [("license", 2.0, ["licence"]), ("copyright", 1.5, [])]
 
     def run(batches):
         for pdf in batches:
-            rows = [(d, s, len(w)) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for s, w in R.evidence_windows(t or "", groups)]
+            rows = [(d, a, b - a) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for a, b in evidence_windows(t or "", groups)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "size"])
 
     return v.documents.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, size int")
@@ -219,10 +221,15 @@ def h30_folded_key(v):
 # --- retrieval -----------------------------------------------------------------------------------------------------
 @query("")
 def i5_hybrid_search(v):
-    """The whole request: terms, hits, quotas, fusion, topicality, greedy choice."""
-    b = v.blocks
-    semantic = b.where("doc_id % 37 = 5 and pos < 2").select("doc_id", F.col("pos").alias("block"), F.lit(0).alias("start"), F.least(F.lit(1000), F.length("text")).alias("end"), (F.col("doc_id") % 60 + 1).cast("int").alias("rank"), F.lit("en").alias("lane"))
-    return hybrid.search(b, "Apache license version", v.documents.count(), semantic)
+    """The whole request: terms and aliases, hits, quotas, windows, context, fusion with dense candidates, topicality, greedy
+    choice. The dense candidates of a document (the label of a vector) are cited by its first block."""
+    b = v.blocks.withColumn("page", F.floor(F.col("pos") / 40).cast("int"))
+    asked = v.chunks.where("chunk_id = 0").select(F.lit("q").alias("query_id"), F.col("vector").alias("q"))
+    dense = R.dense_top_k(v.chunks.where("chunk_id <> 0"), asked, 60).groupBy("doc_id").agg(F.min(F.struct("language_rank", "lane")).alias("m"))
+    first = b.groupBy("doc_id").agg(F.min(F.struct("pos", F.length("text").alias("n"))).alias("f"))
+    semantic = dense.join(first, "doc_id").select("doc_id", F.col("f.pos").alias("block"), F.lit(0).alias("start"), F.least(F.lit(1000), F.col("f.n")).alias("end"), F.col("m.language_rank").alias("rank"), "m.lane")
+    found = hybrid.search(b, "Apache license version", v.documents.count(), semantic)
+    return found.select("place", "doc_id", "block", "start", "end", "lane", F.round("relevance", 9).alias("relevance"), F.sha2("quote", 256).alias("quote_hash"))
 
 
 @query("blocks", """select doc_id, pos, round(greatest(least(1.0, (case when instr(lower(text), 'license') > 0 then 2.0 else 0.0 end + case when instr(lower(text), 'apache') > 0 then 1.0 else 0.0 end) / 3.0), 0.85 * (case when instr(lower(text), 'copyright') > 0 then 1.0 else 0.0 end)), 9) as topic from blocks""")
@@ -239,12 +246,17 @@ def i14_final_greedy(v):
 
 @query("")
 def i18_context_expansion(v):
-    return hybrid.expanded_hits(v.blocks, v.blocks).select("doc_id", "pos", "first_pos", "last_pos", F.sha2("quote", 256).alias("quote_hash"))
+    """Every block as a hit, with its context on the same page."""
+    from papyra.operators.evidence import expanded
+
+    b = v.blocks.withColumn("page", F.floor(F.col("pos") / 40).cast("int"))
+    out = expanded(b, v.blocks.select("doc_id", "pos", F.lit(0).alias("start"), F.length("text").alias("end")))
+    return out.select("doc_id", "pos", F.col("segments")[0]["pos"].alias("first_pos"), F.element_at("segments", -1)["pos"].alias("last_pos"), F.sha2("quote", 256).alias("quote_hash"))
 
 
 @query("")
 def i9_related_terms(v):
-    found = hybrid.related_terms(v.blocks, "license", v.documents.count())
+    found = hybrid.related_terms(v.blocks, [("license", 1.0, [])], v.documents.count(), pattern=hybrid.RELATED + "|[a-z]{9,24}")  # the texts are in lower case
     return v.spark.createDataFrame([(i + 1, t) for i, t in enumerate(found)], "place int, term string")
 
 

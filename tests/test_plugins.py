@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from papyra import plugins
 from papyra.functions import paragraphs as P
 from papyra.functions.unicode import folded_key, nfkc, restyled
-from papyra.operators import hybrid, reconcile
+from papyra.operators import evidence, hybrid, reconcile
 from papyra.sources import export
 
 
@@ -45,21 +45,21 @@ def test_retriever(spark):
 
 def test_greedy_pick():
     row = lambda i, d, lane, r, s=0: {"doc_id": d, "section": "", "block": i, "start": s, "end": s + 100, "lane": lane, "relevance": r}
-    got = hybrid.picked([row(1, 1, "ja", 1.0), row(2, 2, "ja", 0.9), row(3, 3, "ja", 0.8), row(4, 4, "ja", 0.7), row(5, 5, "en", 0.62), row(1, 1, "ja", 0.95, 40)], 5)
-    assert [c["block"] for c in got] == [1, 2, 3, 5, 4]
+    rows = [row(1, 1, "ja", 1.0), row(2, 2, "ja", 0.9), row(3, 3, "ja", 0.8), row(4, 4, "ja", 0.7), row(5, 5, "en", 0.62), row(1, 1, "ja", 0.95, 40)]
+    got = evidence.greedy(rows, 5, hybrid.DOC_WEIGHT, hybrid.SECTION_WEIGHT, hybrid.ENGLISH_SLOT, hybrid.ENGLISH_SHARE, evidence.half_shared)
+    assert [rows[i]["block"] for i in got] == [1, 2, 3, 5, 4]
 
 
 def test_aliases():
     assert hybrid.alias_candidates("コンピューター") == ["ピューター", "ューター", "ーター", "コンピュー", "コンピュ", "コンピ"]
     assert hybrid.alias_candidates("漢字") == []
-    found = lambda t: (["ピューター"], 1) if t == "ピューター" else ([], 0)
-    assert hybrid.learned_alias("コンピューター", 10, found) == "ピューター"
 
 
 def test_context_expansion(spark):
     b = spark.createDataFrame([(1, i, str(i) * 300) for i in range(9)], "doc_id long, pos int, text string")
-    r = hybrid.expanded_hits(b, spark.createDataFrame([(1, 4)], "doc_id long, pos int")).first()
-    assert (r.first_pos, r.last_pos) == (1, 8) and r.quote.startswith("1" * 300 + "\n2")
+    r = evidence.expanded(b, spark.createDataFrame([(1, 4, 0, 300)], "doc_id long, pos int, start int, end int")).first()
+    # three blocks make 650 characters before, four 1,100 after; cut to 650 before the hit, moved to a block's beginning
+    assert [s.pos for s in r.segments] == [2, 3, 4, 5, 6, 7, 8] and r.quote.startswith("2" * 300 + "\n3") and not r.suffix and r.prefix
 
 
 def test_fusion(spark):
