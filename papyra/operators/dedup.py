@@ -11,10 +11,15 @@ from pyspark.sql import types as T
 
 
 def import_duplicates(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """files (file_no, sha, name), docs (doc_id, sha, name) -> file_no, doc_id, reason: equal content, equal name."""
-    by_sha = files.select("file_no", "sha").join(docs.select("doc_id", "sha"), "sha").select("file_no", "doc_id", F.lit("content").alias("reason"))
-    by_name = files.select("file_no", "name").join(docs.select("doc_id", "name"), "name").select("file_no", "doc_id", F.lit("name").alias("reason"))
-    return by_sha.union(by_name)
+    """files (file_no, sha, name), docs (doc_id, sha, name) -> file_no, doc_id, reason, n_docs: for each file and reason (equal
+    content, equal name) the smallest document and how many there are. Documents are grouped first, so that a frequent name
+    gives one row for each file, not all pairs."""
+
+    def by(column: str, reason: str) -> DataFrame:
+        known = docs.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_docs"))
+        return files.select("file_no", column).join(known, column).select("file_no", "doc_id", F.lit(reason).alias("reason"), "n_docs")
+
+    return by("sha", "content").union(by("name", "name"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -23,16 +28,36 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Keys up to this length differ by two left-out characters at most where the ratio is 0.94.
+SHORT = 26
+
+
 def similar_names(files: DataFrame, docs: DataFrame, least: float = 0.94, length: int = 8) -> DataFrame:
-    """Keys of `length` characters or more whose ratio is at least `least`. Lengths of such pairs differ by a factor of
-    (2 - least) / least at most and both hold a common piece: pairs are met over shared pieces of four characters, so
-    no cross product is made. files (file_no, key), docs (doc_id, key)."""
+    """Keys of `length` characters or more whose ratio is at least `least`: files (file_no, key), docs (doc_id, key).
+
+    The ratio 2 m / (a + b) fixes how many of a key's characters may be left out for a partner of a given length, and what
+    is left of both is one string. So keys of up to SHORT characters meet over (both lengths, what is left), an equi join
+    in which names that share a long beginning (all of one series, say) do not all meet. Longer keys meet over shared
+    pieces of four characters."""
+
+    def fewer(strings):
+        """Each string without one of its characters."""
+        without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        return F.array_distinct(F.flatten(F.transform(strings, without)))
+
+    def left(df: DataFrame, key: str, mine: str, other: str) -> DataFrame:
+        """One row for each partner length and each string that may be left of the key."""
+        n = F.length(key)
+        df = df.withColumn(mine, n).withColumn("d0", F.array(key)).withColumn("d1", fewer(F.col("d0"))).withColumn("d2", fewer(F.col("d1")))
+        df = df.withColumn(other, F.explode(F.sequence(F.greatest(F.lit(length), F.ceil(n * least / (2 - least)).cast("int")), F.least(F.lit(SHORT), F.floor(n * (2 - least) / least).cast("int")))))
+        out = n - F.ceil(F.round((n + F.col(other)) * least / 2, 9)).cast("int")  # how many may be left out
+        return df.where(out.between(0, 2)).withColumn("part", F.explode(F.when(out == 0, F.col("d0")).when(out == 1, F.col("d1")).otherwise(F.col("d2")))).drop("d0", "d1", "d2")
 
     def pieces(df: DataFrame, key: str) -> DataFrame:
-        # of 1/(1-least) disjoint pieces of the shorter key one at least stays whole
-        return df.where(F.length(key) >= length).withColumn("piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 3), lambda i: F.substring(F.col(key), i, F.lit(4))))))
+        return df.withColumn("piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 3), lambda i: F.substring(F.col(key), i, F.lit(4))))))
 
-    a = pieces(files.select("file_no", F.col("key").alias("a")), "a")
-    b = pieces(docs.select("doc_id", F.col("key").alias("b")), "b")
-    pairs = a.join(b, "piece").where(F.least(F.length("a"), F.length("b")) * (2 - least) >= F.greatest(F.length("a"), F.length("b")) * least)
-    return pairs.select("file_no", "doc_id", "a", "b").distinct().withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)
+    a, b = files.select("file_no", F.col("key").alias("a")).where(F.length("a") >= length), docs.select("doc_id", F.col("key").alias("b")).where(F.length("b") >= length)
+    short = left(a.where(F.length("a") <= SHORT), "a", "na", "nb").join(left(b.where(F.length("b") <= SHORT), "b", "nb", "na"), ["na", "nb", "part"]).select("file_no", "doc_id", "a", "b")
+    fits = F.least(F.length("a"), F.length("b")) * (2 - least) >= F.greatest(F.length("a"), F.length("b")) * least
+    long = pieces(a, "a").join(pieces(b, "b"), "piece").where(fits & (F.greatest(F.length("a"), F.length("b")) > SHORT)).select("file_no", "doc_id", "a", "b")
+    return short.union(long).distinct().withColumn("ratio", sequence_ratio("a", "b")).where(F.col("ratio") >= least)

@@ -135,3 +135,18 @@ def paragraphs(lines: DataFrame, key: str = "doc_id", order: str = "pos") -> Dat
     parts = marked.groupBy(key, "para").agg(F.array_sort(F.collect_list(F.struct(order, F.trim("text").alias("t")))).alias("p"))
     glue = lambda a, x: F.when(F.length(a) == 0, x["t"]).when(a.rlike("[A-Za-z]-$"), F.concat(F.regexp_replace(a, "-$", ""), x["t"])).otherwise(F.concat(a, F.lit(" "), x["t"]))
     return parts.select(key, "para", F.aggregate("p", F.lit(""), glue).alias("text"))
+
+
+def section_paths(headings: DataFrame) -> DataFrame:
+    """headings (doc_id, pos, level) -> doc_id, pos, path: the positions of the headings above, of any depth, and its own. One
+    pass over a document's headings keeps the open ones: a heading closes those of its own and of deeper levels."""
+    opened = "array<struct<level:int,pos:int>>"
+    zero = F.struct(F.array().cast(opened).alias("stack"), F.array().cast("array<struct<pos:int,path:string>>").alias("out"))
+
+    def step(acc, h):
+        stack = F.concat(F.filter(acc["stack"], lambda o: o["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["pos"].alias("pos"))))
+        path = F.array_join(F.transform(stack, lambda o: o["pos"].cast("string")), "/")
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(h["pos"].alias("pos"), path.alias("path")))).alias("out"))
+
+    rows = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("level").cast("int").alias("level")))).alias("h"))
+    return rows.select("doc_id", F.inline(F.aggregate("h", zero, step)["out"]))

@@ -9,24 +9,24 @@ from papyra.functions import text as T
 from papyra.plans.registry import query
 
 
-@query("blocks", "select doc_id, pos, lower(text) as low, instr(text, 'the') as at, substr(text, 2, 10) as part, length(text) as n, trim(text) as trimmed, greatest(pos, 5) as top from blocks where pos < 3")
+@query("blocks", "select doc_id, pos, lower(text) as low, instr(text, 'the') as at, substr(text, 2, 10) as part, length(text) as n, trim(text) as trimmed, greatest(pos, 5) as top from blocks")
 def h1_basic_scalars(v):
-    return v.blocks.where("pos < 3").select("doc_id", "pos", F.lower("text").alias("low"), F.instr("text", "the").alias("at"), F.substring("text", 2, 10).alias("part"), F.length("text").alias("n"), F.trim("text").alias("trimmed"), F.greatest("pos", F.lit(5)).alias("top"))
+    return v.blocks.select("doc_id", "pos", F.lower("text").alias("low"), F.instr("text", "the").alias("at"), F.substring("text", 2, 10).alias("part"), F.length("text").alias("n"), F.trim("text").alias("trimmed"), F.greatest("pos", F.lit(5)).alias("top"))
 
 
 @query("blocks", """
-with a as (select *, instr(lower(text), 'the') as hit from blocks where pos < 3)
+with a as (select *, instr(lower(text), 'the') as hit from blocks)
 select doc_id, pos, case when hit > 0 then substr(text, greatest(1, hit - 40), hit - greatest(1, hit - 40)) || '<mark>' || substr(text, hit, 3) || '</mark>' || substr(text, hit + 3, 40) else substr(text, 1, 80) end as snippet from a""")
 def h2_snippet(v):
-    return v.blocks.where("pos < 3").select("doc_id", "pos", T.snippet(F.col("text"), "the").alias("snippet"))
+    return v.blocks.select("doc_id", "pos", T.snippet(F.col("text"), "the").alias("snippet"))
 
 
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
-@query("", f"select page_id, replace(replace({_ESC.format('substr(html, 1, 400)')}, '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>') as safe from pages")
+@query("", f"select page_id, replace(replace({_ESC.format('html')}, '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>') as safe from pages")
 def h3_sanitised_snippet(v):
-    return v.pages.select("page_id", T.marked_only(F.substring("html", 1, 400)).alias("safe"))
+    return v.pages.select("page_id", T.marked_only(F.col("html")).alias("safe"))
 
 
 @query("", f"select page_id, {_ESC.format('html')} as escaped from pages")
@@ -34,9 +34,9 @@ def h4_html_escape(v):
     return v.pages.select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
 
 
-@query("blocks", "select doc_id, pos, array_to_string(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.\\-]*'), ' ') as terms from blocks where pos < 4")
+@query("blocks", "select doc_id, pos, array_to_string(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_.\\-]*'), ' ') as terms from blocks")
 def h5_term_runs(v):
-    return v.blocks.where("pos < 4").select("doc_id", "pos", F.array_join(T.term_runs(F.col("text")), " ").alias("terms"))
+    return v.blocks.select("doc_id", "pos", F.array_join(T.term_runs(F.col("text")), " ").alias("terms"))
 
 
 @query("", "select doc_id, case when len(regexp_extract_all(text, '[A-Za-z]')) >= 20 and len(regexp_extract_all(text, '[A-Za-z]')) > 4 * len(regexp_extract_all(text, '[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}]')) then 'en' else 'ja' end as lane from documents")
@@ -64,17 +64,18 @@ def h10_json_field(v):
     return v.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("blocks", "select doc_id, pos, regexp_replace(text, '\\s+', '', 'g') as key from blocks where pos < 5")
+@query("blocks", "select doc_id, pos, regexp_replace(text, '\\s+', '', 'g') as key from blocks")
 def h11_spaceless_key(v):
-    return v.blocks.where("pos < 5").select("doc_id", "pos", F.regexp_replace("text", r"\s+", "").alias("key"))
+    return v.blocks.select("doc_id", "pos", T.plain_key(F.col("text")).alias("key"))
 
 
 @query("", """
-select b.item_id, d.doc_id from benchmark b join documents d on contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(substr(b.text, 1, 60), '\\s+', '', 'g')) where length(regexp_replace(substr(b.text, 1, 60), '\\s+', '', 'g')) >= 8""")
+with q as (select item_id, regexp_replace(text, '\\s+', '', 'g') as k from benchmark), d as (select doc_id, regexp_replace(text, '\\s+', '', 'g') as k from documents)
+select q.item_id, d.doc_id from q join d on contains(d.k, q.k) where length(q.k) >= 8""")
 def h12_quote_in_source(v):
     from papyra.operators.proofs import quotes_in_sources
 
-    quotes = v.benchmark.select("item_id", F.substring("text", 1, 60).alias("quote"))
+    quotes = v.benchmark.select("item_id", F.col("text").alias("quote"))
     return quotes_in_sources(quotes, v.documents.select("doc_id", "text")).select("item_id", "doc_id")
 
 
@@ -83,9 +84,9 @@ def h13_file_key(v):
     return v.pages.select("page_id", T.file_key(F.col("url")).alias("key"))
 
 
-@query("", "select doc_id, translate(substr(text, 1, 100), 'éèêàüöä', 'eeeauoa') as plain from documents")
+@query("", "select doc_id, translate(text, 'éèêàüöä', 'eeeauoa') as plain from documents")
 def h15_character_map(v):
-    return v.documents.select("doc_id", F.translate(F.substring("text", 1, 100), "éèêàüöä", "eeeauoa").alias("plain"))
+    return v.documents.select("doc_id", F.translate("text", "éèêàüöä", "eeeauoa").alias("plain"))
 
 
 @query("", "select doc_id, length(regexp_replace(text, '\\s+', '', 'g')) > 0 and len(regexp_extract_all(text, '[A-Za-z0-9]')) / cast(length(regexp_replace(text, '\\s+', '', 'g')) as double) >= 0.9 as latin from documents")
@@ -93,10 +94,10 @@ def h19_mostly_latin(v):
     return v.documents.select("doc_id", T.mostly_latin(F.col("text"), 0.9).alias("latin"))
 
 
-@query("", "select doc_id, replace(replace(substr(text, 1, 300), 'tion', 'TION'), 'the', 'THE') as text from documents")
+@query("", "select doc_id, replace(replace(text, 'tion', 'TION'), 'the', 'THE') as text from documents")
 def h21_exact_rules(v):
     rules = [{"pattern": "the", "replacement": "THE", "type": "exact"}, {"pattern": "tion", "replacement": "TION"}, {"pattern": "zzz", "replacement": "!", "active": False}]
-    return v.documents.select("doc_id", T.apply_rules(F.substring("text", 1, 300), rules).alias("text"))
+    return v.documents.select("doc_id", T.apply_rules(F.col("text"), rules).alias("text"))
 
 
 @query("blocks", "select doc_id, pos, cast(2 * length(text) - len(regexp_extract_all(text, '[\\x00-\\x7f]')) as integer) as weight from blocks")
@@ -104,24 +105,24 @@ def h22_display_weight(v):
     return v.blocks.select("doc_id", "pos", T.display_weight(F.col("text")).alias("weight"))
 
 
-@query("", "select doc_id, regexp_replace(regexp_replace(text, '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '\\n', ' ', 'g') as text from documents where not contains(text, chr(10) || chr(10))")
+@query("", r"select doc_id, regexp_replace(regexp_replace(text, '([A-Za-z])-\n([a-z])', '\1\2', 'g'), '([^\n])\n(?:([^\n])|\z)', '\1 \2', 'g') as text from documents")
 def h25_unwrap(v):
-    return v.documents.where("not contains(text, '\\n\\n')").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"([A-Za-z])-\n([a-z])", "$1$2"), r"\n", " ").alias("text"))
+    return v.documents.select("doc_id", T.unwrapped(F.col("text")).alias("text"))
 
 
 @query("blocks", """
-with p as (select a.doc_id, a.pos, substr(a.text, 1, 60) as x, substr(a.text, 41, 60) as y from blocks a where pos < 4 and length(text) >= 60),
+with p as (select a.doc_id, a.pos, substr(a.text, 1, 60) as x, substr(a.text, 41, 60) as y from blocks a where length(text) >= 60),
 s as (select *, (select max(n) from generate_series(8, 60) g(n) where n <= least(length(x), length(y)) and right(x, cast(n as integer)) = left(y, cast(n as integer))) as n from p)
 select doc_id, pos, x || case when n is null then y else substr(y, cast(n as integer) + 1) end as joined from s""")
 def h26_overlap_join(v):
-    p = v.blocks.where("pos < 4 and length(text) >= 60").select("doc_id", "pos", F.substring("text", 1, 60).alias("x"), F.substring("text", 41, 60).alias("y"))
+    p = v.blocks.where("length(text) >= 60").select("doc_id", "pos", F.substring("text", 1, 60).alias("x"), F.substring("text", 41, 60).alias("y"))
     return p.select("doc_id", "pos", T.overlap_join(F.col("x"), F.col("y")).alias("joined"))
 
 
-@query("blocks", "select doc_id, pos, regexp_replace(regexp_replace('# [P3]' || text || '[^12]', '\\[P\\d+\\]', '', 'g'), '\\[\\^?(?:note|fn)?\\d+\\]', '', 'g') as t from blocks where pos < 2")
+@query("blocks", "select doc_id, pos, regexp_replace(regexp_replace('# [P3]' || text || '[^12]', '\\[P\\d+\\]', '', 'g'), '\\[\\^?(?:note|fn)?\\d+\\]', '', 'g') as t from blocks")
 def h27_logical_text(v):
     raw = F.concat(F.lit("# [P3]"), "text", F.lit("[^12]"))
-    return v.blocks.where("pos < 2").select("doc_id", "pos", F.regexp_replace(F.regexp_replace(raw, r"\[P\d+\]", ""), r"\[\^?(?:note|fn)?\d+\]", "").alias("t"))
+    return v.blocks.select("doc_id", "pos", F.regexp_replace(F.regexp_replace(raw, r"\[P\d+\]", ""), r"\[\^?(?:note|fn)?\d+\]", "").alias("t"))
 
 
 @query("", "select doc_id, regexp_replace(translate('in １９' || (doc_id % 90 + 10) || '年', '０１２３４５６７８９', '0123456789'), '([12]) ?(\\d) ?(\\d) ?(\\d)', '\\1\\2\\3\\4', 'g') as t from documents")
@@ -145,9 +146,14 @@ def h32_orientation(v):
     return v.lines.select("doc_id", "pos", G.orientation(F.col("w"), F.col("h")).alias("orientation"))
 
 
-@query("blocks", "select doc_id, pos from blocks where length(text) <= 60 and regexp_matches(text, '^(第[一二三四五六七八九十百0-9]+[章節部編]|\\d+(\\.\\d+)*[. ]\\S|[IVX]+\\. |Chapter \\d+|Section \\d+)') and not regexp_matches(text, '[。．.!?]$')")
+@query("blocks", """
+with t as (select doc_id, pos, case pos % 5 when 0 then 'Chapter ' || pos || ' ' || text when 1 then 'IV. ' || text when 2 then (pos % 7) || '.2 ' || text when 3 then '第三章 ' || text else text end as text from blocks)
+select doc_id, pos from t where length(text) <= 60 and regexp_matches(text, '^(第[一二三四五六七八九十百0-9]+[章節部編]|\\d+(\\.\\d+)*[. ]\\S|[IVX]+\\. |Chapter \\d+|Section \\d+)') and not regexp_matches(text, '[。．.!?]$')""")
 def h35_heading_patterns(v):
-    return v.blocks.where(T.heading_like(F.col("text"))).select("doc_id", "pos")
+    """Blocks with headings' openings put before four of five."""
+    n = F.col("pos") % 5
+    text = F.when(n == 0, F.concat(F.lit("Chapter "), "pos", F.lit(" "), "text")).when(n == 1, F.concat(F.lit("IV. "), "text")).when(n == 2, F.concat(F.col("pos") % 7, F.lit(".2 "), "text")).when(n == 3, F.concat(F.lit("第三章 "), "text")).otherwise(F.col("text"))
+    return v.blocks.select("doc_id", "pos", text.alias("text")).where(T.heading_like(F.col("text"))).select("doc_id", "pos")
 
 
 @query("blocks lines", "select doc_id, pos, round(0.8 * x - 0.1 * y + 3, 6) as px, round(0.1 * x + 0.9 * y - 2, 6) as py from lines")

@@ -183,7 +183,7 @@ def j13_seed_groups(v):
 def h17_unlooped(v):
     from papyra.functions.text import unlooped
 
-    return v.documents.select("doc_id", unlooped(F.substring("text", 1, 400)).alias("text"))
+    return v.documents.select("doc_id", unlooped(F.col("text")).alias("text"))
 
 
 @query("blocks", "select doc_id, pos, case when length(text) < 20 then 'heading3' when length(text) < 30 then 'heading2' when length(text) < 40 and not regexp_matches(text, '[.!?]$') then 'heading1' else 'body' end as kind from blocks")
@@ -206,9 +206,9 @@ def h43_caption_noise(v):
 def h14_name_similarity(v):
     from papyra.operators.dedup import similar_names
 
-    f = v.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("file_no"), F.lower("c_name").alias("key"))
-    d = v.customer.where("c_custkey % 50 = 1").select(F.col("c_custkey").alias("doc_id"), F.lower("c_name").alias("key"))
-    return similar_names(f, d).select("file_no", "doc_id", F.round("ratio", 6).alias("ratio"))
+    f = v.customer.select(F.col("c_custkey").alias("file_no"), F.lower("c_name").alias("key"))
+    d = v.customer.select(F.col("c_custkey").alias("doc_id"), F.lower("c_name").alias("key"))
+    return similar_names(f, d).where("file_no < doc_id").select("file_no", "doc_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query("")

@@ -316,7 +316,7 @@ def c21_band_assignment(v):
     return v.lines.select("doc_id", "pos", F.size(F.filter(edges, lambda e: e <= F.col("y"))).alias("band"))
 
 
-_CITES = "cites as (select doc_id, pos, doc_id * 1000 + pos as cite_id, pos * 7 % 50 as s, pos * 7 % 50 + 60 + doc_id % 30 as e from blocks where pos < 12 and doc_id % 3 = 0)"
+_CITES = "cites as (select doc_id, pos, doc_id * 100000 + pos as cite_id, pos * 7 % 50 as s, pos * 7 % 50 + 60 + doc_id % 30 as e from blocks)"
 
 
 @query("blocks", f"""with {_CITES}, o as (select doc_id, pos, cite_id + 500 as cite_id, s + 20 as s, e + 45 as e from cites)
@@ -325,27 +325,27 @@ from cites a join o b on a.doc_id = b.doc_id and a.pos = b.pos and a.s < b.e and
 def c22_quote_overlap(v):
     from papyra.operators.retrieval import quote_overlap
 
-    c = v.blocks.where("pos < 12 and doc_id % 3 = 0").selectExpr("doc_id", "pos as block_id", "doc_id * 1000 + pos as cite_id", "pos * 7 % 50 as start", "pos * 7 % 50 + 60 + doc_id % 30 as end")
+    c = v.blocks.selectExpr("doc_id", "pos as block_id", "doc_id * 100000 + pos as cite_id", "pos * 7 % 50 as start", "pos * 7 % 50 + 60 + doc_id % 30 as end")
     c = c.withColumn("quote_len", F.col("end") - F.col("start"))
     o = c.select("doc_id", "block_id", (F.col("cite_id") + 500).alias("cite_id"), (F.col("start") + 20).alias("start"), (F.col("end") + 45).alias("end")).withColumn("quote_len", F.col("end") - F.col("start"))
     return quote_overlap(c, o).select("a_id", "b_id", F.round("share", 6).alias("share"))
 
 
 @query("blocks", """
-with seen as (select doc_id, pos, sha256(case when doc_id % 9 = 0 then text || 'x' else text end) as h from blocks where pos < 5)
+with seen as (select doc_id, pos, sha256(case when doc_id % 9 = 0 then text || 'x' else text end) as h from blocks)
 select s.doc_id, bool_and(s.h = sha256(b.text)) as fresh from seen s join blocks b on b.doc_id = s.doc_id and b.pos = s.pos group by s.doc_id""")
 def c23_freshness(v):
-    seen = v.blocks.where("pos < 5").select("doc_id", "pos", F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"))
+    seen = v.blocks.select("doc_id", "pos", F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("h"))
     return seen.join(v.blocks, ["doc_id", "pos"]).groupBy("doc_id").agg(F.bool_and(F.col("h") == F.sha2("text", 256)).alias("fresh"))
 
 
 @query("blocks", """
-with q as (select doc_id, pos, substr(text, 3, 30) as quote, sha256(case when pos % 5 = 0 then '' else text end) as h from blocks where pos < 8)
+with q as (select doc_id, pos, substr(text, 3, 30) as quote, sha256(case when pos % 5 = 0 then '' else text end) as h from blocks)
 select q.doc_id, q.pos, case when b.text is null then 'missing' when sha256(b.text) <> q.h then 'changed' when substr(b.text, 3, 30) <> q.quote then 'quote' end as fault
 from q left join (select * from blocks where doc_id % 8 <> 0) b on b.doc_id = q.doc_id and b.pos = q.pos
 where b.text is null or sha256(b.text) <> q.h or substr(b.text, 3, 30) <> q.quote""")
 def c24_source_faults(v):
-    q = v.blocks.where("pos < 8").select("doc_id", "pos", F.substring("text", 3, 30).alias("quote"), F.sha2(F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("text")), 256).alias("h"))
+    q = v.blocks.select("doc_id", "pos", F.substring("text", 3, 30).alias("quote"), F.sha2(F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("text")), 256).alias("h"))
     j = q.join(v.blocks.where("doc_id % 8 <> 0"), ["doc_id", "pos"], "left")
     fault = F.when(F.col("text").isNull(), "missing").when(F.sha2("text", 256) != F.col("h"), "changed").when(F.substring("text", 3, 30) != F.col("quote"), "quote")
     return j.select("doc_id", "pos", fault.alias("fault")).where("fault is not null")
@@ -354,8 +354,8 @@ def c24_source_faults(v):
 @query("", """
 with f as (select doc_id as file_no, sha256(text) as sha, source || '-' || (doc_id % 50) as name from documents where doc_id % 5 = 0),
 d as (select doc_id, sha256(text) as sha, source || '-' || (doc_id % 50) as name from documents where doc_id % 5 <> 0)
-select f.file_no, d.doc_id, 'content' as reason from f join d on f.sha = d.sha
-union all select f.file_no, d.doc_id, 'name' from f join d on f.name = d.name""")
+select f.file_no, min(d.doc_id) as doc_id, 'content' as reason, count(*) as n_docs from f join d on f.sha = d.sha group by 1
+union all select f.file_no, min(d.doc_id), 'name', count(*) from f join d on f.name = d.name group by 1""")
 def c25_import_duplicates(v):
     from papyra.operators.dedup import import_duplicates
 
@@ -513,23 +513,16 @@ def e2_row_matrix(v):
     return r.select("doc_id", "page", "row_no", F.array_join(F.transform("c", lambda c: c["t"]), "|").alias("cells"), F.size("c").cast("long").alias("n"))
 
 
-@query("blocks lines", """
-with recursive o as (select doc_id, page, x, row_number() over (partition by doc_id, page order by x, pos) as rn from lines where doc_id < 200),
-f as (select doc_id, page, rn, 0 as cluster, cast(x as double) as total, 1 as n from o where rn = 1
- union all select o.doc_id, o.page, o.rn, case when abs(o.x - f.total / f.n) <= 40 then f.cluster else f.cluster + 1 end, case when abs(o.x - f.total / f.n) <= 40 then f.total + o.x else o.x end, case when abs(o.x - f.total / f.n) <= 40 then f.n + 1 else 1 end
- from f join o on o.doc_id = f.doc_id and o.page = f.page and o.rn = f.rn + 1)
-select doc_id, page, cluster, round(max_by(total / n, rn), 6) as mean, max(n) as members from f group by 1, 2, 3""")
+@query("")
 def e3_running_mean(v):
-    return layout.running_mean_clusters(v.lines.where("doc_id < 200"), "x", 40).withColumn("mean", F.round("mean", 6))
+    """No SQL: a recursion over all lines; a test holds it against a plain loop."""
+    return layout.running_mean_clusters(v.lines, "x", 40).withColumn("mean", F.round("mean", 6))
 
 
-@query("blocks lines", """
-with recursive o as (select doc_id, page, y, row_number() over (partition by doc_id, page order by y, pos) as rn from lines where doc_id < 200),
-f as (select doc_id, page, rn, y as kept, true as keep from o where rn = 1
- union all select o.doc_id, o.page, o.rn, case when o.y - f.kept > 60 then o.y else f.kept end, o.y - f.kept > 60 from f join o on o.doc_id = f.doc_id and o.page = f.page and o.rn = f.rn + 1)
-select doc_id, page, kept as y from f where keep""")
+@query("")
 def e3a_thinning(v):
-    return layout.thinned(v.lines.where("doc_id < 200"), "y", 60)
+    """No SQL: a recursion over all lines; a test holds it against a plain loop."""
+    return layout.thinned(v.lines, "y", 60)
 
 
 @query("blocks headings", "select h.doc_id, h.pos, h.level, (select max(p.pos) from headings p where p.doc_id = h.doc_id and p.pos < h.pos and p.level < h.level) as parent from headings h")
@@ -538,11 +531,12 @@ def e4_heading_parents(v):
 
 
 @query("blocks lines", r"""
-with a as (select *, lag(page) over w as p0, lag(text) over w as t0 from lines where text not like '%-' window w as (partition by doc_id order by pos)),
-b as (select *, sum(case when p0 is not null and page <> p0 and not regexp_matches(rtrim(t0), '[.!?。！？:;]$') then 0 else 1 end) over (partition by doc_id order by pos rows unbounded preceding) as para from a)
-select doc_id, cast(para as integer) as para, string_agg(trim(text), ' ' order by pos) as text from b group by 1, 2""")
+with a as (select *, lag(page) over w as p0, lag(text) over w as t0 from lines window w as (partition by doc_id order by pos)),
+b as (select *, sum(case when p0 is not null and page <> p0 and not regexp_matches(rtrim(t0), '[.!?。！？:;]$') then 0 else 1 end) over (partition by doc_id order by pos rows unbounded preceding) as para from a),
+c as (select *, lead(pos) over (partition by doc_id, para order by pos) is not null and regexp_matches(trim(text), '[A-Za-z]-$') as hyphen from b)
+select doc_id, cast(para as integer) as para, rtrim(string_agg(case when hyphen then regexp_replace(trim(text), '-$', '') else trim(text) || ' ' end, '' order by pos), ' ') as text from c group by 1, 2""")
 def e5_cross_page_paragraphs(v):
-    return layout.paragraphs(v.lines.where(~F.col("text").like("%-")))
+    return layout.paragraphs(v.lines)
 
 
 @query("blocks lines", "select doc_id, page, pos, pos = min(pos) over (partition by doc_id, page) as first_on_page, pos = max(pos) over (partition by doc_id, page) as last_on_page from lines")
@@ -556,10 +550,7 @@ with recursive t as (select h.doc_id, h.pos, h.level, (select max(p.pos) from he
 r as (select doc_id, pos, cast(pos as varchar) as path from t where parent is null union all select t.doc_id, t.pos, r.path || '/' || t.pos from t join r on r.doc_id = t.doc_id and r.pos = t.parent)
 select doc_id, pos, path from r""")
 def e7_section_paths(v):
-    t = layout.parents(v.headings).select("doc_id", "pos", "parent")
-    up = t.select("doc_id", F.col("pos").alias("parent"), F.col("parent").alias("above"))  # levels go to 3
-    path = F.concat_ws("/", F.col("above").cast("string"), F.col("parent").cast("string"), F.col("pos").cast("string"))
-    return t.join(up, ["doc_id", "parent"], "left").select("doc_id", "pos", path.alias("path"))
+    return layout.section_paths(v.headings)
 
 
 @query("chunks", "with r as (select lane, chunk_id, cast(row_number() over (partition by lane order by round(vector[1], 6) desc, chunk_id) as integer) as rank from chunks) select * from r where rank <= 60")
@@ -668,16 +659,18 @@ def g1_difference(v):
 
 @query("", "select text, min(doc_id) as first_id from documents group by text")
 def g2_first_wins_distinct(v):
-    return v.documents.groupBy("text").agg(F.min("doc_id").alias("first_id"))
+    """Grouped by a hash of the text, so that no text is a key; the first row of each is kept on the way."""
+    g = v.documents.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("m"))
+    return g.select("m.text", F.col("m.doc_id").alias("first_id"))
 
 
 @query("", """
-with w as (select doc_id, unnest(string_split(substr(text, 1, 200), ' ')) as term, generate_subscripts(string_split(substr(text, 1, 200), ' '), 1) as i from documents),
+with w as (select doc_id, unnest(string_split(text, ' ')) as term, generate_subscripts(string_split(text, ' '), 1) as i from documents),
 d as (select *, row_number() over (partition by doc_id, lower(term) order by i) as n from w),
 k as (select *, row_number() over (partition by doc_id order by i) as r from d where n = 1)
 select doc_id, string_agg(term, ' ' order by i) as terms from k where r <= 16 group by doc_id""")
 def g3_distinct_terms(v):
-    return v.documents.select("doc_id", F.array_join(T.distinct_folded(F.split(F.substring("text", 1, 200), " "), 16), " ").alias("terms"))
+    return v.documents.select("doc_id", F.array_join(T.distinct_folded(F.split("text", " "), 16), " ").alias("terms"))
 
 
 @query("document_tags", "select doc_id, tag_id from document_tags union all select doc_id, tag_id from (select distinct doc_id, 'src1' as tag_id from documents where doc_id % 2 = 0) n where not exists (select 1 from document_tags t where t.doc_id = n.doc_id and t.tag_id = n.tag_id)")
@@ -685,16 +678,24 @@ def g4_insert_or_ignore(v):
     return state.inserted_or_ignored(v.document_tags, v.documents.where("doc_id % 2 = 0").select("doc_id", F.lit("src1").alias("tag_id")), ["doc_id", "tag_id"])
 
 
-@query("blocks lines", """
-select distinct a.doc_id, a.page, a.pos from lines a join lines b on a.doc_id = b.doc_id and a.page = b.page and a.pos <> b.pos and a.w * a.h < b.w * b.h
- and a.x >= b.x - 5 and a.y >= b.y - 24 and a.x + a.w <= b.x + b.w + 5 and a.y + a.h <= b.y + b.h + 24""")
+_REGIONS = "regions as (select doc_id, page, pos as region_id, x, y, w, h from lines union all select doc_id, page, 1000000 + 10 * row_no + col_no, x, y, w, h from cells)"
+
+
+@query("blocks lines cells", f"""with {_REGIONS}
+select distinct a.doc_id, a.page, a.region_id from regions a join regions b on a.doc_id = b.doc_id and a.page = b.page and a.region_id <> b.region_id
+ and (a.w * a.h < b.w * b.h or (a.w * a.h = b.w * b.h and a.region_id > b.region_id))
+ and a.x >= b.x - 5 and a.y >= b.y - 5 and a.x + a.w <= b.x + b.w + 5 and a.y + a.h <= b.y + b.h + 5""")
 def g7_contained_regions(v):
+    """Regions (lines and cells) that lie in a larger one, with a margin of 5; of equal ones the first stays."""
     from papyra.functions.geometry import columns
 
+    cells = v.cells.selectExpr("doc_id", "page", "1000000 + 10 * row_no + col_no as region_id", "x", "y", "w", "h")
+    r = v.lines.selectExpr("doc_id", "page", "pos as region_id", "x", "y", "w", "h").union(cells)
     ax, ay, aw, ah = columns("a.")
     bx, by, bw, bh = columns("b.")
-    cond = layout.on_page("a.", "b.") & (F.col("a.pos") != F.col("b.pos")) & (aw * ah < bw * bh) & (ax >= bx - 5) & (ay >= by - 24) & (ax + aw <= bx + bw + 5) & (ay + ah <= by + bh + 24)
-    return v.lines.alias("a").join(v.lines.alias("b"), cond, "left_semi").select("doc_id", "page", "pos")
+    larger = (aw * ah < bw * bh) | ((aw * ah == bw * bh) & (F.col("a.region_id") > F.col("b.region_id")))
+    inside = (ax >= bx - 5) & (ay >= by - 5) & (ax + aw <= bx + bw + 5) & (ay + ah <= by + bh + 5)
+    return r.alias("a").join(r.alias("b"), layout.on_page("a.", "b.") & (F.col("a.region_id") != F.col("b.region_id")) & larger & inside, "left_semi").select("doc_id", "page", "region_id")
 
 
 @query("document_tags", """

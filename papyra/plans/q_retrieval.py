@@ -107,10 +107,11 @@ def i8_diversified_pick(v):
     return R.diversified(v.orders.select(F.col("o_orderpriority").alias("query_id"), F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("item"), F.col("o_totalprice").alias("score")), 32)
 
 
-@query("blocks", "select cast(row_number() over (order by doc_id, pos) as integer) as cite_no, doc_id, pos, substr(text, 1, 120) as context, '[' || row_number() over (order by doc_id, pos) || '] ' || substr(text, 1, 120) as line from blocks where contains(lower(text), 'license') and doc_id < 300")
+@query("blocks", "select cast(row_number() over (partition by doc_id order by pos) as integer) as cite_no, doc_id, pos, substr(text, 1, 120) as context, '[' || row_number() over (partition by doc_id order by pos) || '] ' || substr(text, 1, 120) as line from blocks where contains(lower(text), 'license')")
 def i19_citations(v):
-    hits = v.blocks.where("doc_id < 300").where(F.contains(F.lower("text"), F.lit("license")))
-    n = F.row_number().over(Window.orderBy("doc_id", "pos"))  # one answer's citations
+    """Citations of one document each, numbered in it."""
+    hits = v.blocks.where(F.contains(F.lower("text"), F.lit("license")))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
     return hits.select(n.alias("cite_no"), "doc_id", "pos", F.substring("text", 1, 120).alias("context")).withColumn("line", F.concat(F.lit("["), "cite_no", F.lit("] "), "context"))
 
 
@@ -145,9 +146,9 @@ def i23_follow_up_context(v):
     return j.select("c.conv_id", "c.turn", F.substring("p.text", 1, 500).alias("question"), F.substring("c.text", 1, 1500).alias("answer"))
 
 
-@query("", "select doc_id, 'According to ' || source || ': ' || substr(text, 1, 100) as answer from documents where doc_id % 40 = 1")
+@query("", "select doc_id, 'According to ' || source || ': ' || substr(text, 1, 100) as answer from documents")
 def i24_extractive_answer(v):
-    return v.documents.where("doc_id % 40 = 1").select("doc_id", F.concat(F.lit("According to "), "source", F.lit(": "), F.substring("text", 1, 100)).alias("answer"))
+    return v.documents.select("doc_id", F.concat(F.lit("According to "), "source", F.lit(": "), F.substring("text", 1, 100)).alias("answer"))
 
 
 @query("tag_groups tags document_tags", """
@@ -158,17 +159,18 @@ def i25_catalogue(v):
     return j.groupBy("group_id", "name").agg(F.count_distinct("tag_id").alias("tags"), F.count_distinct("doc_id").alias("docs"), F.array_join(F.array_sort(F.collect_set("tag_id")), ",").alias("members"))
 
 
-@query("", "select source, string_agg('- ' || doc_id || ' (' || lang || ')', chr(10) order by doc_id) as briefing from documents where doc_id % 10 = 3 group by source")
+@query("", "select source, doc_id // 1000 as part, string_agg('- ' || doc_id || ' (' || lang || ')', chr(10) order by doc_id) as briefing from documents group by 1, 2")
 def i26_briefing(v):
+    """A source's documents as lists of up to a thousand numbers each, so that no row grows with the source."""
     line = F.concat(F.lit("- "), F.col("doc_id").cast("string"), F.lit(" ("), "lang", F.lit(")"))
-    g = v.documents.where("doc_id % 10 = 3").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("r"))
-    return g.select("source", F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias("briefing"))
+    g = v.documents.groupBy("source", F.expr("doc_id div 1000").alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("r"))
+    return g.select("source", "part", F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias("briefing"))
 
 
-@query("blocks", """with seen as (select doc_id, pos, sha256(case when pos % 6 = 0 then text || '!' else text end) as h from blocks where pos < 10)
+@query("blocks", """with seen as (select doc_id, pos, sha256(case when pos % 6 = 0 then text || '!' else text end) as h from blocks)
 select s.doc_id, s.pos, case when b.text is null then 'deleted' when sha256(b.text) <> s.h then 'changed' else 'current' end as state from seen s left join (select * from blocks where doc_id % 9 <> 4) b on b.doc_id = s.doc_id and b.pos = s.pos""")
 def i27_source_state(v):
-    seen = v.blocks.where("pos < 10").select("doc_id", "pos", F.sha2(F.when(F.col("pos") % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
+    seen = v.blocks.select("doc_id", "pos", F.sha2(F.when(F.col("pos") % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
     j = seen.join(v.blocks.where("doc_id % 9 <> 4"), ["doc_id", "pos"], "left")
     return j.select("doc_id", "pos", F.when(F.col("text").isNull(), "deleted").when(F.sha2("text", 256) != F.col("h"), "changed").otherwise("current").alias("state"))
 

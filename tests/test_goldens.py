@@ -361,3 +361,53 @@ def test_related_terms(spark):
     b = spark.createDataFrame(rows, "doc_id long, pos int, text string")
     got = hybrid.related_terms(b, [("海軍", 2.0, []), ("司令", 1.0, [])], 4)
     assert "造船業界" in got and not any("三月" in t for t in got) and len(got) <= 3
+
+
+def _name_ratio(a, b):
+    from difflib import SequenceMatcher
+
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def test_similar_names_against_all_pairs(spark):
+    r = random.Random(4)
+    names = [f"customer#{r.randrange(3000):09d}"[: r.choice([16, 17, 18])] for _ in range(60)]
+    for n in list(names[:20]):
+        k = r.randrange(len(n))
+        names += [n[:k] + n[k + 1 :], n[:k] + "x" + n[k:], n[:k] + "xy" + n[k:]]
+    names += ["the quarterly report of the naval office of 1911", "the quarterly report of the naval office of 1912", "short", "reports1", "reports1"]
+    df = spark.createDataFrame(list(enumerate(names)), "n long, key string")
+    got = {(x.file_no, x.doc_id) for x in similar_names(df.withColumnRenamed("n", "file_no"), df.withColumnRenamed("n", "doc_id")).collect()}
+    want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if min(len(a), len(b)) >= 8 and _name_ratio(a, b) >= 0.94}
+    assert got == want and len(want) > 2 * len(names)
+
+
+def test_clusters_and_thinning_against_plain_loops(spark):
+    r = random.Random(2)
+    rows = [(d, p, d % 2, r.randrange(400), r.randrange(900)) for d in range(6) for p in range(r.randint(1, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, page int, x int, y int")
+    means, kept = set(), set()
+    for d in range(6):
+        page = d % 2
+        clusters = []
+        for x in sorted(row[3] for row in rows if row[0] == d):
+            if clusters and abs(x - sum(clusters[-1]) / len(clusters[-1])) <= 40:
+                clusters[-1].append(x)
+            else:
+                clusters.append([x])
+        means |= {(d, page, i, round(sum(c) / len(c), 6), len(c)) for i, c in enumerate(clusters)}
+        last = None
+        for y in sorted(row[4] for row in rows if row[0] == d):
+            if last is None or y - last > 60:
+                kept.add((d, page, y))
+                last = y
+    got = layout.running_mean_clusters(df, "x", 40).select("doc_id", "page", "cluster", F.round("mean", 6), "members").collect()
+    assert {tuple(x) for x in got} == means
+    assert {tuple(x) for x in layout.thinned(df, "y", 60).select("doc_id", "page", "y").collect()} == kept
+
+
+def test_section_paths_of_any_depth(spark):
+    levels = [1, 2, 3, 4, 5, 3, 2, 6, 1, 4, 2]
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(levels)], "doc_id long, pos int, level int")
+    got = {x.pos: x.path for x in layout.section_paths(df).collect()}
+    assert got == {0: "0", 1: "0/1", 2: "0/1/2", 3: "0/1/2/3", 4: "0/1/2/3/4", 5: "0/1/5", 6: "0/6", 7: "0/6/7", 8: "8", 9: "8/9", 10: "8/10"}

@@ -35,6 +35,7 @@ def test_query(spark, duck, name):
     mine, theirs = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert rows(mine) == rows(theirs)
+    assert len(mine), "an empty result shows nothing"
 
 
 def test_all_registered():
