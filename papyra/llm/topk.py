@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from papyra.llm.common import read, staged
 
 PIVOTS, SAMPLE, LEAF, FAN, QUERIES = 1024, 32768, 64, 16, 1024
-#: Most shells of a region.
-SHELLS = 64
+#: Most shells of a region; a score below all.
+SHELLS, LEAST = 64, -(1 << 63)
 
 
 def page_rows(n: int) -> int:
-    return max(512, min(16384, n // 128))
+    return max(512, min(16384, n // 16))
 
 
 class MTree:
@@ -73,9 +73,9 @@ class MTree:
         self.centres = [np.stack([n[2] for n in level]) if level else np.empty((0, x.shape[1])) for level in self.levels]
         self.radii = [np.array([n[3] for n in level]) for level in self.levels]
 
-    def search(self, q: np.ndarray, scores, k: int, best: list[tuple[int, int]], own: int, ids: np.ndarray, limit: float) -> float:
+    def search(self, q: np.ndarray, scores, k: int, best: list[tuple[int, int]], own: int, ids: np.ndarray, limit: float, floor: int) -> float:
         """Adds to best, a heap of (score, -id) of size k, and returns the bound on the k-th distance. scores(members):
-        exact integer scores; limit: distance that must not be exceeded, from elsewhere."""
+        exact integer scores; limit, floor: distance that must not be exceeded and score that must be reached, from elsewhere."""
         top = len(self.levels) - 1
         d = np.sqrt(((self.centres[top] - q) ** 2).sum(axis=1)) if len(self.levels[top]) else np.empty(0)
         heap = [(max(0.0, d[i] - self.radii[top][i]), top, i, d[i]) for i in range(len(d))]
@@ -97,9 +97,8 @@ class MTree:
             if not len(at):
                 continue
             s = scores(at)
-            if len(best) == k:  # ties with the k-th stay in, the smaller id may win
-                keep = s >= best[0][0]
-                at, s = at[keep], s[keep]
+            keep = s >= (max(floor, best[0][0]) if len(best) == k else floor)  # ties with the k-th stay in, the smaller id may win
+            at, s = at[keep], s[keep]
             for j, v in zip(ids[at].tolist(), s.tolist(), strict=True):
                 if j == own:
                     continue
@@ -181,7 +180,7 @@ def _search(k: int, most: int):
                     q = np.asarray(a["v"], np.int64)
                     tree.total = float((q * q).sum()) + float(most)
                     best: list[tuple[int, int]] = []
-                    tree.search(np.append(q.astype(np.float64), 0.0), lambda at, q=q, v=v: v[at] @ q, k, best, a["query_id"], ids, a["limit"])
+                    tree.search(np.append(q.astype(np.float64), 0.0), lambda at, q=q, v=v: v[at] @ q, k, best, a["query_id"], ids, a["limit"], a["floor"])
                     out += [(a["query_id"], -j, s) for s, j in best]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
@@ -229,13 +228,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
     slim = pages.select("pivot", "shell", "part", "low", "high")  # a row for each page
 
     def searched(asked: DataFrame) -> DataFrame:
-        """asked: query_id, v, home, block, limit, pivot, shell, part. Each page meets each block that asks for it once."""
-        grouped = asked.groupBy("pivot", "shell", "part", "home", "block").agg(F.collect_list(F.struct("query_id", "v", "limit")).alias("asked"))  # about QUERIES at most
+        """asked: query_id, v, home, block, limit, floor, pivot, shell, part. Each page meets each block that asks for it once."""
+        grouped = asked.groupBy("pivot", "shell", "part", "home", "block").agg(F.collect_list(F.struct("query_id", "v", "limit", "floor")).alias("asked"))  # about QUERIES at most
         return pages.join(grouped, ["pivot", "shell", "part"]).select("tree", "asked").mapInPandas(_search(k, most), "query_id long, vec_id long, score long")
 
     far = 4.0 * float(most) ** 0.5 + 1
     own = (F.col("home") == F.col("pivot")) & (F.col("low") <= F.col("dist")) & (F.col("dist") <= F.col("high"))
-    near = staged(queries.join(slim, own).withColumn("limit", F.lit(far)), "mtree-near")
+    near = staged(queries.join(slim, own).withColumn("limit", F.lit(far)).withColumn("floor", F.lit(LEAST).cast("long")), "mtree-near")
     first = staged(_best(searched(near), k).drop("rank"), "mtree-first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s"))
 
@@ -249,12 +248,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
                 d = np.sqrt(((centres - q) ** 2).sum(axis=1))
                 wide = np.full(len(centres), -np.inf)
                 wide[[r["pivot"] for r in reach]] = [r["high"] for r in reach]
-                out += [(qid, v, home, block, limit, int(p), float(d[p])) for p in np.flatnonzero(d - wide <= limit)]
-            yield pd.DataFrame(out, columns=["query_id", "v", "home", "block", "limit", "pivot", "d"]).astype({"query_id": "int64", "home": "int32", "block": "int32", "limit": "float64", "pivot": "int32", "d": "float64"})
+                floor = int(s) if c == k else LEAST
+                out += [(qid, v, home, block, limit, floor, int(p), float(d[p])) for p in np.flatnonzero(d - wide <= limit)]
+            kinds = {"query_id": "int64", "home": "int32", "block": "int32", "limit": "float64", "floor": "int64", "pivot": "int32", "d": "float64"}
+            yield pd.DataFrame(out, columns=["query_id", "v", "home", "block", "limit", "floor", "pivot", "d"]).astype(kinds)
 
     reach = slim.groupBy("pivot").agg(F.max("high").alias("high")).agg(F.collect_list(F.struct("pivot", "high")).alias("reach"))  # at most PIVOTS entries
     more = queries.join(kth, "query_id", "left").fillna(0, ["c", "s"]).crossJoin(F.broadcast(reach))  # one row
-    more = more.mapInPandas(visits, "query_id long, v array<long>, home int, block int, limit double, pivot int, d double")
+    more = more.mapInPandas(visits, "query_id long, v array<long>, home int, block int, limit double, floor long, pivot int, d double")
     met = more.join(slim, "pivot").where((F.col("d") - F.col("limit") <= F.col("high")) & (F.col("d") + F.col("limit") >= F.col("low")))
     done = near.select("query_id", "pivot", "shell", "part")
     rest = searched(staged(met.join(done, ["query_id", "pivot", "shell", "part"], "left_anti"), "mtree-visits"))
