@@ -150,3 +150,13 @@ def section_paths(headings: DataFrame) -> DataFrame:
 
     rows = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("level").cast("int").alias("level")))).alias("h"))
     return rows.select("doc_id", F.inline(F.aggregate("h", zero, step)["out"]))
+
+
+def peaks(projection: DataFrame, at: str, value: str, least: float, apart: int = 8) -> DataFrame:
+    """projection (doc_id, page, at, value) -> doc_id, page, at, value of the local maxima above `least`, `apart` or more from the
+    last one kept. A plateau counts once, at its beginning; what lies outside the projection counts as nothing."""
+    w = Window.partitionBy("doc_id", "page").orderBy(at)
+    before, after = F.coalesce(F.lag(value).over(w), F.lit(0)), F.coalesce(F.lead(value).over(w), F.lit(0))
+    high = projection.withColumn("_b", before).withColumn("_a", after).where((F.col(value) > least) & (F.col(value) > F.col("_b")) & (F.col(value) >= F.col("_a")))
+    kept = thinned(high.select("doc_id", "page", at), at, apart - 1)
+    return high.join(kept, ["doc_id", "page", at]).select("doc_id", "page", at, value)

@@ -620,6 +620,16 @@ def e17_runs(v):
 
 
 # --- F: sorts and limits -------------------------------------------------------------------------------------------
+@query("blocks lines", """
+with p as (select doc_id, page, y, cast(sum(w) as bigint) as ink from lines group by 1, 2, 3),
+n as (select *, coalesce(lag(ink) over w, 0) as b, coalesce(lead(ink) over w, 0) as a from p window w as (partition by doc_id, page order by y))
+select doc_id, page, y, ink from n where ink > 250 and ink > b and ink >= a""")
+def e16_peaks(v):
+    """Peaks of the ink along y, above a quarter of the page's width of 1,000; rows are 24 apart, so none is too near."""
+    ink = v.lines.groupBy("doc_id", "page", "y").agg(F.sum("w").cast("long").alias("ink"))
+    return layout.peaks(ink, "y", "ink", 250)
+
+
 @query("", "select doc_id, n_chars from documents order by n_chars desc nulls last, doc_id limit 20 offset 5")
 def f1_sorted_page(v):
     return scope.sorted_page(v.documents, "n_chars", True, 20, 5).select("doc_id", "n_chars")

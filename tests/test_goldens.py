@@ -411,3 +411,10 @@ def test_section_paths_of_any_depth(spark):
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate(levels)], "doc_id long, pos int, level int")
     got = {x.pos: x.path for x in layout.section_paths(df).collect()}
     assert got == {0: "0", 1: "0/1", 2: "0/1/2", 3: "0/1/2/3", 4: "0/1/2/3/4", 5: "0/1/5", 6: "0/6", 7: "0/6/7", 8: "8", 9: "8/9", 10: "8/10"}
+
+
+def test_peaks(spark):
+    ink = [5, 9, 9, 2, 30, 31, 4, 4, 40, 3, 3, 3, 3, 3, 3, 3, 3, 12]
+    df = spark.createDataFrame([(1, 0, i, v) for i, v in enumerate(ink)], "doc_id long, page int, at int, ink int")
+    assert sorted((r["at"], r["ink"]) for r in layout.peaks(df, "at", "ink", 8.0, 1).collect()) == [(1, 9), (5, 31), (8, 40), (17, 12)]
+    assert sorted(r["at"] for r in layout.peaks(df, "at", "ink", 8.0, 7).collect()) == [1, 8, 17]
