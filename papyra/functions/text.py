@@ -137,6 +137,51 @@ def unlooped(text: Column) -> Column:
     return F.regexp_replace(text, r"((?=[^\n]*[^\d\s.,])[^\n]{2,20}?)\1{2,}", "$1")
 
 
+#: Phrases a recogniser is known to repeat, with their plain forms.
+KNOWN_LOOPS = (("だがプーチンは、だがプーチンは、", "だがプーチンは、"), ("どうしようもないと言うようもないと言うように", "どうしようもないと言うように"))
+#: Digits and ideographs that are numbers, as a part of a character class.
+_NUMBER = r"\p{N}" + "".join(c for c in map(chr, range(0x3400, 0xA000)) if c.isnumeric())
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def clean_line(text: Column, keep_edge_numbers: bool = False, drop_latin_noise: bool = True) -> Column:
+    """A recognised line without the marks of a recogniser that ran away. Null stays null.
+
+    Repetition first: a kana or ideograph three times or more becomes one, a line ends where another character comes five
+    times, a phrase of 2 to 12 characters three times or more becomes one, four equal words end the line. Numbers may
+    repeat: what holds one is matched too, so that nothing inside it is taken for a loop, and put back whole. Then year
+    brackets read as l or 1, decimals, braces, and numbers and dashes at the edges (`keep_edge_numbers` keeps those; a number
+    before a closing bracket always stays). Lines of brackets and dashes, and long lines without Japanese that look like
+    noise, become empty (`drop_latin_noise=False` keeps the latter)."""
+    for pattern, by in (
+        (rf"([一-龥ぁ-んァ-ヶ&&[^{_NUMBER}]])\1{{2,}}", "$1"),
+        (rf"(?Us)([^\s{_NUMBER}])\1{{4,}}.*", ""),
+        (r"(?U)^\s+|\s+\z", ""),
+        (rf"(?d)([^\n{_NUMBER}]{{2,12}}?)\1{{2,}}|((.{{2,12}}?)\3{{2,}})", "$1$2"),
+    ):
+        text = F.regexp_replace(text, pattern, by)
+    for loop, plain in KNOWN_LOOPS:
+        text = F.replace(text, F.lit(loop), F.lit(plain))
+    text = _stripped(F.regexp_replace(text, rf"(?Ud)(\b[\w&&[^{_NUMBER}]]+\b\s+)\1{{3,}}.*$|((\b\w+\b\s+)\3{{3,}}.*$)", "$2"))
+    text = F.regexp_replace(F.regexp_replace(text, r"(?U)(\b\d{4}[a-z]?)l\.", "$1]."), r"(?U)(\b\d{4}[a-z]?)1\.", "$1].")
+    for decimals in (r"(?U)(?:[01]\.\d{2,4}[.,]?|\d+[.,]\d{2,}){2,}", r"(?U)(?:\d+[.,]\d+){2,}", r"(?U)(?<!\d)\d+[.,]\d+(?!\d)", "[{}$]"):
+        text = F.regexp_replace(text, decimals, "")
+    brackets = text.rlike(r"(?U)(?:[()\-\s]{3,}\d?){4,}")
+    if not keep_edge_numbers:
+        item = text.rlike(r"(?U)^\s*[-−―–—－]?\d{2,3}\s*[>〉＞)）]")
+        front = lambda t, pattern: F.when(item, t).otherwise(F.regexp_replace(t, pattern, ""))
+        edged = F.regexp_replace(front(text, r"(?U)^\s*[\d.,\-]+(?=[^\d\s])"), r"(?Ud)(?<=[^\d\s])[\d.,\-]+\s*$", "")
+        text = front(edged, r"(?U)^\s*[-–—]+\s*")
+    text = F.regexp_replace(F.when(brackets, "").otherwise(text), r"\.{2,}", "。")
+    if drop_latin_noise:
+        latin = text.rlike(r"(?Ui)\b(?:the|and|for|with|ton|tion|stand)\b") | text.rlike(r"(?Ud)^[a-zA-Z\s.,\-_]+$")
+        text = F.when((F.length(text) > 15) & ~text.rlike("[ぁ-ん一-龥]") & latin, "").otherwise(text)
+    return _stripped(text)
+
+
 def symbol_loop(text: Column) -> Column:
     """A symbol repeated eight times or more makes up half the text or more."""
     run = F.regexp_extract(text, r"([^\w\s])\1{7,}", 0)

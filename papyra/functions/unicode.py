@@ -28,6 +28,19 @@ def folded_key(text: Column) -> Column:
     return _folded(text)
 
 
+def compatibility_ideographs() -> dict[str, str]:
+    """Compatibility ideographs (U+F900 to U+FAFF) with the single characters that NFKC gives for them."""
+    forms = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xF900, 0xFB00))
+    return {c: form for c, form in forms if form != c and len(form) == 1}
+
+
+def new_forms(text: Column, old_new: dict[str, str]) -> Column:
+    """Old forms of ideographs as new ones. `old_new` (single characters) is the caller's table, such as that of a national
+    list; compatibility ideographs are folded first, by NFKC, and then mapped like the rest. Null stays null."""
+    table = {c: old_new.get(form, form) for c, form in compatibility_ideographs().items()} | old_new
+    return F.translate(text, "".join(table), "".join(table.values()))
+
+
 class _Styler(HTMLParser):
     def __init__(self, styles: dict[str, str]) -> None:
         super().__init__(convert_charrefs=False)

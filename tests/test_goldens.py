@@ -4,6 +4,7 @@ import io
 import math
 import random
 import re
+import unicodedata
 import zipfile
 from types import SimpleNamespace
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.functions import unicode as U
 from papyra.operators import evidence, hybrid, layout, pages, retrieval
 from papyra.operators.dedup import similar_names
 from papyra.plans import q_more, q_retrieval
@@ -51,6 +53,33 @@ def test_text(spark, fn, text, want):
     assert one(spark, fn, text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    (None, None), ("", ""), ("  静かな 夜 ", "静かな 夜"),
+    ("本ああああ棚", "本あ棚"), ("三三三三年", "三三三三年"), ("1000000", "1000000"),
+    ("前書き！！！！！後は消える\n次", "前書き"), ("年一一一一一！", "年一一一一一！"),
+    ("これはこれはこれはこれは終わり", "これは終わり"), ("第1第1第1です", "第1第1第1です"), ("あ1xyxyxy1xyxyxy1xyxyxyあ", "あ1xyxyxy1xyxyxy1xyxyxyあ"),
+    ("だがプーチンは、だがプーチンは、来た", "だがプーチンは、来た"),
+    ("山 the the the the end", "山 the end"), ("山 " + "characteristically " * 4 + "end", "山"), ("山 v1 v1 v1 v1 終", "山 v1 v1 v1 v1 終"),
+    ("[田中 2005al. 参照", "[田中 2005a]. 参照"), ("[田中 1997l. 参照", "[田中 1997]. 参照"),
+    ("値0.000.0です", "値です"), ("値 3.5 です", "値  です"), ("{集合}$", "集合"),
+    ("( 0 ( - ( - ( ) ( - ( ) ( - (", ""), ("12) 項目", "12) 項目"), ("12項目", "項目"), ("--項目", "項目"), ("項目12", "項目"),
+    ("終わり...次", "終わり。次"), ("noise and more noise", ""), ("short", "short"), ("日本 and more noise", "日本 and more noise"),
+])
+def test_clean_line(spark, text, want):
+    assert one(spark, T.clean_line, text) == want
+
+
+def test_clean_line_keeps(spark):
+    assert one(spark, lambda c: T.clean_line(c, keep_edge_numbers=True), "12項目34") == "12項目34"
+    assert one(spark, lambda c: T.clean_line(c, drop_latin_noise=False), "noise and more noise") == "noise and more noise"
+
+
+def test_new_forms(spark):
+    new = lambda c: U.new_forms(c, {"國": "国", "海": "海", "欄": "欄"})
+    assert one(spark, new, "國と\uf91d\ufa45と\uf95d") == "国と欄海と" + unicodedata.normalize("NFKC", "\uf95d")
+    assert one(spark, new, None) is None and one(spark, new, "") == ""
+
+
 def test_joined_cell(spark):
     r = spark.sql("select array('東京','都','ABC','def','5','円') as p").select(T.joined_cell(F.col("p"))).first()[0]
     assert r == "東京都ABC def 5円"
