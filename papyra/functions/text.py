@@ -147,6 +147,38 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
+def _year_brackets(text: Column) -> Column:
+    """A closing bracket behind a year that was read as l or 1."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)(\b\d{4}[a-z]?)l\.", "$1]."), r"(?U)(\b\d{4}[a-z]?)1\.", "$1].")
+
+
+def _word_loop_cut(text: Column, times: int, numbers: bool) -> Column:
+    """A last line that repeats a word `times` times or more ends there; words that hold a number may repeat unless `numbers`."""
+    again = f"{{{times - 1},}}"
+    if numbers:
+        return F.regexp_replace(text, rf"(?Ud)(\b\w+\b\s+)\1{again}.*$", "")
+    return F.regexp_replace(text, rf"(?Ud)(\b[\w&&[^{_NUMBER}]]+\b\s+)\1{again}.*$|((\b\w+\b\s+)\3{again}.*$)", "$2")
+
+
+def clean_read(text: Column) -> Column:
+    """The recogniser's own cleaning of a read: any character but a number three times or more becomes one, the text ends
+    at five equal marks (. - _ =), a word three times ends the line, a phrase of 2 to 8 characters three times becomes one."""
+    text = F.regexp_replace(text, rf"(?U)([^\s{_NUMBER}])\1{{2,}}", "$1")
+    text = _stripped(F.regexp_replace(text, r"(?Us)([.\-_=])\1{4,}.*", ""))
+    text = _stripped(_word_loop_cut(text, 3, numbers=False))
+    # the longest phrase counts; it is folded only if the part before the same rest of the text is free of numbers
+    longest, plain = r"(?=(\S{2,8})(\1{2,}.*))", rf"([^\s{_NUMBER}]{{2,8}})(?=\2\z)\3{{2,}}"
+    text = F.regexp_replace(text, rf"(?Us){longest}{plain}|((\S{{2,8}})\5{{2,}})", "$3$4")
+    return _year_brackets(text)
+
+
+def clean_region(text: Column) -> Column:
+    """The cleaning of text in regions found by themselves: the last line ends where any character, numbers too, comes five
+    times in a row, and where a word comes four times."""
+    text = _stripped(F.regexp_replace(text, r"(?Ud)([^\s])\1{4,}.*$", ""))
+    return _year_brackets(_stripped(_word_loop_cut(text, 4, numbers=True)))
+
+
 def clean_line(text: Column, keep_edge_numbers: bool = False, drop_latin_noise: bool = True) -> Column:
     """A recognised line without the marks of a recogniser that ran away. Null stays null.
 
@@ -165,8 +197,8 @@ def clean_line(text: Column, keep_edge_numbers: bool = False, drop_latin_noise:
         text = F.regexp_replace(text, pattern, by)
     for loop, plain in KNOWN_LOOPS:
         text = F.replace(text, F.lit(loop), F.lit(plain))
-    text = _stripped(F.regexp_replace(text, rf"(?Ud)(\b[\w&&[^{_NUMBER}]]+\b\s+)\1{{3,}}.*$|((\b\w+\b\s+)\3{{3,}}.*$)", "$2"))
-    text = F.regexp_replace(F.regexp_replace(text, r"(?U)(\b\d{4}[a-z]?)l\.", "$1]."), r"(?U)(\b\d{4}[a-z]?)1\.", "$1].")
+    text = _stripped(_word_loop_cut(text, 4, numbers=False))
+    text = _year_brackets(text)
     for decimals in (r"(?U)(?:[01]\.\d{2,4}[.,]?|\d+[.,]\d{2,}){2,}", r"(?U)(?:\d+[.,]\d+){2,}", r"(?U)(?<!\d)\d+[.,]\d+(?!\d)", "[{}$]"):
         text = F.regexp_replace(text, decimals, "")
     brackets = text.rlike(r"(?U)(?:[()\-\s]{3,}\d?){4,}")

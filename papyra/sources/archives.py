@@ -1,9 +1,10 @@
 """Word-processor files as bundles: DOCX and ODT, read from binaryFile rows in mapInPandas with the standard library.
 
 A document becomes block rows in body order: kind (heading, paragraph, list, table, image, note), level, text, HTML, table
-grid, and the id of the part an image refers to. Styles inherit through basedOn (cycles are cut); a heading is what its
-style's or its own outline level says. Text boxes give their first Choice, else their Fallback. Notes come only where the
-text refers to them. Files that are no such archive, or over the size limits, give one row of kind 'error'.
+grid (its first row is the header) with the spans of its cells, and the id of the part an image refers to. Styles inherit
+through basedOn (cycles are cut); a heading is what its style's name, title or outline level or its own outline level says,
+of level 6 at most. Links, bookmarks and symbols stand in the HTML. Text boxes give their first Choice, else their Fallback.
+Notes come only where the text refers to them; a mark stands in their place. Files that are no such archive, or over the size limits, give one row of kind 'error'.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "path string, pos int, kind string, level int, text string, html string, grid array<array<string>>, ref string"
+SCHEMA = "path string, pos int, kind string, level int, text string, html string, grid array<array<string>>, ref string, spans array<struct<row: int, col: int, rowspan: int, colspan: int>>"
 #: Limits of an import.
 MAX_BYTES, MAX_RATIO = 200 << 20, 50
+#: A cell or gap spans at most so many columns (the formats' own limits are lower).
+MOST_CELLS = 1000
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -29,6 +32,12 @@ MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 TEXT, TABLE, OFFICE, DRAW, XLINK = (f"{{urn:oasis:names:tc:opendocument:xmlns:{n}:1.0}}" for n in ("text", "table", "office", "drawing", "xlink"))
 XLINK = "{http://www.w3.org/1999/xlink}"
 
+#: Names of heading, title and subtitle styles, and the marks of notes.
+HEADING_NAME = re.compile(r"(?i)(?:Heading|見出し|見だし|みだし|Titre|Header|Headline|H)\s*([1-9])")
+TITLE_NAMES, SUBTITLE_NAMES = ("title", "タイトル", "表題"), ("subtitle", "サブタイトル", "副題")
+NOTE_MARKS = {"footnote": "脚注", "endnote": "文末脚注", "comment": "コメント"}
+MOST_LEVEL = 6
+
 
 def zip_fault(content: bytes, most: int = MAX_BYTES, ratio: int = MAX_RATIO) -> str | None:
     """Why an archive must not be opened: no archive, too large, packed too tightly, unsafe names."""
@@ -46,27 +55,37 @@ def zip_fault(content: bytes, most: int = MAX_BYTES, ratio: int = MAX_RATIO) ->
     return None
 
 
+def _outline(pr: ET.Element | None) -> int | None:
+    """The outline level of properties: 1 to 6, 0 for body text, None if they say nothing."""
+    e = pr.find(f"{W}outlineLvl") if pr is not None else None
+    value = e.get(f"{W}val", "") if e is not None else ""
+    return None if not value.isdigit() else min(int(value) + 1, MOST_LEVEL) if int(value) < 9 else 0
+
+
+def _named_level(name: str) -> int | None:
+    if m := HEADING_NAME.fullmatch(name):
+        return min(int(m[1]), MOST_LEVEL)
+    return 1 if name.lower() in TITLE_NAMES else 2 if name.lower() in SUBTITLE_NAMES else None
+
+
 def heading_levels(styles: ET.Element | None) -> dict[str, int]:
-    """Style id -> heading level (1 to 9), inherited through basedOn."""
+    """Style id -> heading level (1 to 6), inherited through basedOn. A style that says body text ends the search."""
     own: dict[str, int] = {}
     based: dict[str, str] = {}
     for s in styles.iter(f"{W}style") if styles is not None else ():
-        sid = s.get(f"{W}styleId", "")
-        name = s.find(f"{W}name")
-        level = s.find(f"{W}pPr/{W}outlineLvl")
-        if level is not None and int(level.get(f"{W}val", "9")) < 9:
-            own[sid] = int(level.get(f"{W}val")) + 1
-        elif name is not None and (m := re.fullmatch(r"(?i)heading (\d)", name.get(f"{W}val", ""))):
-            own[sid] = int(m[1])
-        if (b := s.find(f"{W}basedOn")) is not None:
-            based[sid] = b.get(f"{W}val", "")
+        sid, name, base = s.get(f"{W}styleId", ""), s.find(f"{W}name"), s.find(f"{W}basedOn")
+        said = (_outline(s.find(f"{W}pPr")), _named_level(sid), _named_level(name.get(f"{W}val", "")) if name is not None else None)
+        if (level := next((x for x in said if x is not None), None)) is not None:
+            own[sid] = level
+        if base is not None:
+            based[sid] = base.get(f"{W}val", "")
     out = {}
     for sid in {*own, *based}:
         at, seen = sid, set()
         while at and at not in own and at not in seen:
             seen.add(at)
             at = based.get(at, "")
-        if at in own:
+        if own.get(at):
             out[sid] = own[at]
     return out
 
@@ -76,6 +95,8 @@ class _Docx:
         load = lambda n: ET.fromstring(z.read(n)) if n in z.namelist() else None
         self.body = load("word/document.xml").find(f"{W}body")
         self.levels = heading_levels(load("word/styles.xml"))
+        rels = load("word/_rels/document.xml.rels")
+        self.targets = {r.get("Id"): r.get("Target", "") for r in rels} if rels is not None else {}
         self.notes = {k: {n.get(f"{W}id"): n for n in x if n.get(f"{W}type") in (None, "normal")} if (x := load(f"word/{k}s.xml")) is not None else {} for k in ("footnote", "endnote", "comment")}
         self.asked: list[tuple[str, str]] = []
         self.images: list[str] = []
@@ -95,7 +116,7 @@ class _Docx:
                 return
             if e.tag == f"{W}r":
                 pr = e.find(f"{W}rPr")
-                marks = [t for k, t in (("b", "strong"), ("i", "em"), ("u", "u"), ("strike", "s")) if pr is not None and (x := pr.find(f"{W}{k}")) is not None and x.get(f"{W}val") not in ("0", "false", "none")]
+                marks = [t for k, t in (("b", "strong"), ("i", "em"), ("u", "u"), ("strike", "del")) if pr is not None and (x := pr.find(f"{W}{k}")) is not None and x.get(f"{W}val") not in ("0", "false", "off", "none")]
                 va = pr.find(f"{W}vertAlign") if pr is not None else None
                 marks += [{"superscript": "sup", "subscript": "sub"}[va.get(f"{W}val")]] if va is not None and va.get(f"{W}val") in ("superscript", "subscript") else []
                 start = len(out)
@@ -115,7 +136,21 @@ class _Docx:
                 kind, i = e.tag[len(W) : -len("Reference")], e.get(f"{W}id")
                 if i in self.notes[kind]:
                     self.asked.append((kind, i))
-                    out.append(f'<sup data-note="{kind}-{i}"></sup>')
+                    mark = f"【{NOTE_MARKS[kind]}{i}】"
+                    text.append(mark), out.append(f'<sup data-note="{kind}-{html.escape(i)}">{html.escape(mark)}</sup>')
+            elif e.tag == f"{W}sym":
+                code = e.get(f"{W}char", "")
+                sign = chr(int(code, 16)) if re.fullmatch("(?i)(?!d[89a-f])[0-9a-f]{1,4}", code) else ""
+                text.append(sign), out.append(html.escape(sign))
+            elif e.tag == f"{W}bookmarkStart" and e.get(f"{W}name", "_GoBack") != "_GoBack":
+                out.append(f'<span id="{html.escape(e.get(f"{W}name"))}"></span>')
+            elif (to := self.link(e)) is not None:
+                start = len(out)
+                for c in e:
+                    walk(c)
+                if len(out) > start:
+                    out[start:] = [f'<a href="{html.escape(to)}">', *out[start:], "</a>"]
+                return
             elif e.tag == f"{A}blip":
                 self.images.append(e.get(f"{R}embed", ""))
             for c in e:
@@ -125,32 +160,51 @@ class _Docx:
             walk(c)
         return "".join(text), "".join(out)
 
-    def grid(self, table: ET.Element) -> list[list[str]]:
-        """Cell texts; a cell over several columns stands in the first, one that continues a vertical merge is empty."""
-        rows = []
-        for tr in table.findall(f"{W}tr"):
-            before = tr.find(f"{W}trPr/{W}gridBefore")
-            row = [""] * (int(before.get(f"{W}val", "0")) if before is not None else 0)
+    def link(self, e: ET.Element) -> str | None:
+        """Where a hyperlink or a hyperlink field leads: an address, or # and a bookmark."""
+        if e.tag == f"{W}fldSimple":
+            m = re.search(r'HYPERLINK\s+"([^"]+)"', e.get(f"{W}instr", ""))
+            return m[1] if m else None
+        if e.tag != f"{W}hyperlink":
+            return None
+        anchor = e.get(f"{W}anchor")
+        return self.targets.get(e.get(f"{R}id")) or (f"#{anchor}" if anchor else None)
+
+    def grid(self, table: ET.Element) -> tuple[list[list[str]], list[dict[str, int]]]:
+        """Cell texts and the spans of the cells. A cell stands in its first row and column; what it covers is empty. A cell
+        continues a vertical merge if the merged cell above begins in its column and is as wide; else it is one of its own."""
+        rows, spans, above = [], [], {}
+        number = lambda e, least: min(max(least, int(e.get(f"{W}val", ""))), MOST_CELLS) if e is not None and e.get(f"{W}val", "").isdigit() else least
+        for at, tr in enumerate(table.findall(f"{W}tr")):
+            row, merged = [""] * number(tr.find(f"{W}trPr/{W}gridBefore"), 0), {}
             for tc in tr.findall(f"{W}tc"):
-                span, merge = tc.find(f"{W}tcPr/{W}gridSpan"), tc.find(f"{W}tcPr/{W}vMerge")
-                cont = merge is not None and merge.get(f"{W}val", "continue") == "continue"
-                row.append("" if cont else "\n".join(self.runs(p)[0] for p in tc.iter(f"{W}p")).strip())
-                row += [""] * (int(span.get(f"{W}val", "1")) - 1 if span is not None else 0)
+                wide, merge = number(tc.find(f"{W}tcPr/{W}gridSpan"), 1), tc.find(f"{W}tcPr/{W}vMerge")
+                cell, text = above.get(len(row)), ""
+                if merge is not None and merge.get(f"{W}val") != "restart" and cell and cell["colspan"] == wide:
+                    cell["rowspan"] += 1
+                else:
+                    text = " ".join(t for p in tc.iter(f"{W}p") if (t := self.runs(p)[0])).strip()
+                    cell = {"row": at, "col": len(row), "rowspan": 1, "colspan": wide}
+                    spans.append(cell)
+                if merge is not None:
+                    merged[len(row)] = cell
+                row += [text] + [""] * (wide - 1)
             rows.append(row)
+            above = merged
         wide = max(map(len, rows), default=0)
-        return [r + [""] * (wide - len(r)) for r in rows]
+        return [r + [""] * (wide - len(r)) for r in rows], spans
 
     def rows(self) -> Iterator[tuple]:
         for e in self.body:
             if e.tag == f"{W}tbl":
-                g = self.grid(e)
-                yield "table", None, "\n".join("\t".join(r) for r in g), None, g, None
+                g, spans = self.grid(e)
+                yield "table", None, "\n".join("\t".join(r) for r in g), None, g, None, spans
             elif e.tag == f"{W}p":
                 text, markup = self.runs(e)
                 pr = e.find(f"{W}pPr")
                 style = pr.find(f"{W}pStyle").get(f"{W}val") if pr is not None and pr.find(f"{W}pStyle") is not None else None
-                own = pr.find(f"{W}outlineLvl") if pr is not None else None
-                level = int(own.get(f"{W}val", "9")) + 1 if own is not None and int(own.get(f"{W}val", "9")) < 9 else self.levels.get(style)
+                own = _outline(pr)
+                level = self.levels.get(style) if own is None else own or None
                 item = pr.find(f"{W}numPr/{W}ilvl") if pr is not None else None
                 kind = "heading" if level else "list" if pr is not None and pr.find(f"{W}numPr") is not None else "paragraph"
                 if text.strip():
@@ -206,7 +260,7 @@ def _odt(z: zipfile.ZipFile) -> Iterator[tuple]:
                 for tr in c.iter(f"{TABLE}table-row"):
                     row = []
                     for tc in tr:
-                        cells = min(int(tc.get(f"{TABLE}number-columns-repeated", "1")), 1000)
+                        cells = min(int(tc.get(f"{TABLE}number-columns-repeated", "1")), MOST_CELLS)
                         row += ["" if tc.tag == f"{TABLE}covered-table-cell" else "\n".join(plain(p) for p in tc.iter(f"{TEXT}p"))] * cells
                     g.append(row)
                 wide = max(map(len, g), default=0)
@@ -229,7 +283,7 @@ def blocks_of(path: str, content: bytes) -> list[tuple]:
         rows = list(_Docx(z).rows() if "word/document.xml" in z.namelist() else _odt(z))
     except (ValueError, KeyError, AttributeError, ET.ParseError, zipfile.BadZipFile) as e:
         rows = [("error", None, str(e), None, None, None)]
-    return [(path, i, *r) for i, r in enumerate(rows)]
+    return [(path, i, *r[:6], r[6] if len(r) > 6 else None) for i, r in enumerate(rows)]
 
 
 def read_archives(spark: SparkSession, root: str, pattern: str = "*.{docx,odt}") -> DataFrame:
@@ -238,7 +292,7 @@ def read_archives(spark: SparkSession, root: str, pattern: str = "*.{docx,odt}")
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in blocks_of(p, bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "pos", "kind", "level", "text", "html", "grid", "ref"]).astype({"level": "Int32"})
+            yield pd.DataFrame(rows, columns=["path", "pos", "kind", "level", "text", "html", "grid", "ref", "spans"]).astype({"level": "Int32"})
 
     return files.mapInPandas(parse, SCHEMA)
 

@@ -74,6 +74,15 @@ def test_clean_line_keeps(spark):
     assert one(spark, lambda c: T.clean_line(c, drop_latin_noise=False), "noise and more noise") == "noise and more noise"
 
 
+@pytest.mark.parametrize("fn,text,want", [
+    (T.clean_read, "本！！！棚", "本！棚"), (T.clean_read, "一一一年 555", "一一一年 555"), (T.clean_read, "1 -- 22222 ----- x", "1 -- 22222 - x"),
+    (T.clean_read, "山 the the the end", "山"), (T.clean_read, "山 v1 v1 v1 終", "山 v1 v1 v1 終"), (T.clean_read, "どうもどうもどうも終", "どうも終"), (T.clean_read, "ababab1ababab1ababab1x", "ababab1ababab1ababab1x"), (T.clean_read, "2005al.", "2005a]."), (T.clean_read, None, None),
+    (T.clean_region, "頁 00000 後\n次", "頁 00000 後\n次"), (T.clean_region, "頁 00000 後", "頁"), (T.clean_region, "山 v1 v1 v1 v1 終", "山"), (T.clean_region, "1997l. x", "1997]. x"), (T.clean_region, "", ""),
+])
+def test_clean_variants(spark, fn, text, want):
+    assert one(spark, fn, text) == want
+
+
 def test_new_forms(spark):
     new = lambda c: U.new_forms(c, {"國": "国", "海": "海", "欄": "欄"})
     assert one(spark, new, "國と\uf91d\ufa45と\uf95d") == "国と欄海と" + unicodedata.normalize("NFKC", "\uf95d")
@@ -263,6 +272,32 @@ def docx():
     return out.getvalue()
 
 
+def test_docx_links_and_marks():
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    run = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    cell = lambda t, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr><w:p>{run(t)}</w:p><w:p>{run('+')}</w:p></w:tc>"
+    merge = '<w:gridSpan w:val="2"/><w:vMerge/>'
+    body = (
+        f'<w:p><w:pPr><w:pStyle w:val="T"/></w:pPr>{run("Name")}</w:p><w:p><w:pPr><w:pStyle w:val="見出し 8"/></w:pPr>{run("Deep")}</w:p>'
+        f'<w:p><w:pPr><w:pStyle w:val="T"/><w:outlineLvl w:val="9"/></w:pPr>{run("Body")}</w:p><w:p><w:pPr><w:pStyle w:val="Plain"/></w:pPr>{run("Text")}</w:p>'
+        f'<w:p><w:bookmarkStart w:id="1" w:name="_GoBack"/><w:bookmarkStart w:id="2" w:name="here"/><w:hyperlink r:id="x">{run("out")}</w:hyperlink>'
+        f'<w:hyperlink w:anchor="here">{run("in")}</w:hyperlink><w:fldSimple w:instr=" HYPERLINK &quot;http://f/&quot; ">{run("field")}</w:fldSimple>'
+        f'<w:fldSimple w:instr="PAGE">{run("7")}</w:fldSimple><w:r><w:sym w:char="00A7"/><w:sym w:char="D800"/><w:sym w:char="x"/></w:r></w:p>'
+        f"<w:tbl><w:tr>{cell('a', merge.replace('/><w:vMerge/', '/><w:vMerge w:val=\"restart\"/'))}{cell('b')}</w:tr><w:tr>{cell('', merge)}{cell('c')}</w:tr>"
+        f"<w:tr>{cell('d', '<w:vMerge/>')}{cell('e')}{cell('f')}</w:tr></w:tbl>"
+    )
+    styles = '<w:style w:styleId="T"><w:name w:val="Title"/></w:style><w:style w:styleId="見出し 8"/><w:style w:styleId="Plain"><w:basedOn w:val="T"/><w:pPr><w:outlineLvl w:val="9"/></w:pPr></w:style>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W} {r}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {W}>{styles}</w:styles>")
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="x" Target="http://o/?a&amp;b"/></Relationships>')
+    rows = archives.blocks_of("x.docx", out.getvalue())
+    assert [r[2:5] for r in rows] == [("heading", 1, "Name"), ("heading", 6, "Deep"), ("paragraph", None, "Body"), ("paragraph", None, "Text"), ("paragraph", None, "outinfield7§"), ("table", None, "a +\t\tb +\n\t\tc +\nd +\te +\tf +")]
+    assert rows[4][5] == '<span id="here"></span><a href="http://o/?a&amp;b">out</a><a href="#here">in</a><a href="http://f/">field</a>7§'
+    assert [tuple(c.values()) for c in rows[5][8]] == [(0, 0, 2, 2), (0, 2, 1, 1), (1, 2, 1, 1), (2, 0, 1, 1), (2, 1, 1, 1), (2, 2, 1, 1)]
+
+
 def test_archives(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx())
     (tmp_path / "b.odt").write_bytes(archives.odt_bytes([("heading", 2, "H & M"), ("paragraph", None, "text")]))
@@ -270,9 +305,10 @@ def test_archives(spark, tmp_path):
     (tmp_path / "d.docx").write_bytes(archives.docx_bytes([("heading", 3, "Deep"), ("paragraph", None, "x < y")]))
     rows = archives.read_archives(spark, str(tmp_path)).orderBy("path", "pos").collect()
     got = {n: [(r.kind, r.level, r.text) for r in rows if r.path.endswith(n)] for n in ("a.docx", "b.odt", "c.docx", "d.docx")}
-    assert got["a.docx"] == [("heading", 1, "Title"), ("paragraph", None, "bold & plain"), ("paragraph", None, "box"), ("table", None, "wide\t\na\tb\n\tc"), ("note", None, "a note")]
-    assert next(r.html for r in rows if r.text == "bold & plain").startswith("<strong>bold</strong> &amp; plain")
+    assert got["a.docx"] == [("heading", 1, "Title"), ("paragraph", None, "bold & plain【脚注2】"), ("paragraph", None, "box"), ("table", None, "wide\t\na\tb\n\tc"), ("note", None, "a note")]
+    assert next(r.html for r in rows if r.text == "bold & plain【脚注2】").startswith("<strong>bold</strong> &amp; plain")
     assert next(r.grid for r in rows if r.kind == "table") == [["wide", ""], ["a", "b"], ["", "c"]]
+    assert next([tuple(c) for c in r.spans] for r in rows if r.kind == "table") == [(0, 0, 1, 2), (1, 0, 2, 1), (1, 1, 1, 1), (2, 1, 1, 1)]
     assert got["b.odt"] == [("heading", 2, "H & M"), ("paragraph", None, "text")] and got["c.docx"] == [("error", None, "not a zip archive")] and got["d.docx"] == [("heading", 3, "Deep"), ("paragraph", None, "x < y")]
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert {r.path[-6:]: r.fault for r in P.guarded(files).collect()} == {"a.docx": None, "/b.odt": None, "c.docx": "first bytes", "d.docx": None}
