@@ -147,6 +147,7 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
+# The patterns and counts of clean_line, clean_read and clean_region below, and their order, decide the results.
 def _year_brackets(text: Column) -> Column:
     """A closing bracket behind a year that was read as l or 1."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)(\b\d{4}[a-z]?)l\.", "$1]."), r"(?U)(\b\d{4}[a-z]?)1\.", "$1].")
