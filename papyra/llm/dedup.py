@@ -243,29 +243,19 @@ def components(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
 
 def _block_links(p: MinHash):
     """Confirmed links in one pair of blocks of one bucket, as a forest: pairs of different components that the signatures
-    allow are compared on their full sets, in the first bucket that both share, until they are of one component."""
+    allow are compared on their full sets, in the first bucket that both share, until they are of one component. Shingles are
+    numbered within the task, so that a set is compared with all its candidates in a few array operations."""
     mask = np.uint64(int("".join("1".rjust(p.bits, "0") for _ in range(64 // p.bits)), 2))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, label, blk, text = pdf["rep"].to_numpy(), pdf["label"].to_numpy(), pdf["blk"].to_numpy(), pdf["text"].tolist()
+        rep, blk, text = pdf["rep"].to_numpy(), pdf["blk"].to_numpy(), pdf["text"]
         sig, bands = np.stack(pdf["sig"].to_numpy()).view(np.uint64), np.stack(pdf["bands"].to_numpy())
         i, j, band = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["band"].iloc[0]
         right, out = np.flatnonzero(blk == j), []
-        root = {x: x for x in set(label.tolist())}
-        sets: dict[int, np.ndarray] = {}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        def full(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingle_set(text[k], p.words)
-            return sets[k]
-
-        for x in np.flatnonzero(blk == i):
-            y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) if i == j else True)]
+        part = pdf["label"].to_numpy().copy()  # component of each row, as links are found
+        likely: list[tuple[int, np.ndarray]] = []
+        for x in np.flatnonzero(blk == i).tolist():
+            y = right[(part[right] != part[x]) & ((rep[right] > rep[x]) if i == j else True)]
             d = sig[y] ^ sig[x]
             e = d.copy()
             for s in range(1, p.bits):
@@ -273,16 +263,31 @@ def _block_links(p: MinHash):
             y = y[np.bitwise_count(e & mask).sum(axis=1) <= p.most_mismatches]
             same = bands[y] == bands[x]
             y = y[bands[x][same.argmax(axis=1)] == band] if len(y) else y
-            for k in y.tolist():
-                m, n = find(label[x]), find(label[k])
-                if m == n:
-                    continue
-                a, b = full(x), full(k)
-                if 100 * min(len(a), len(b)) < p.percent * max(len(a), len(b)):
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= p.percent * (len(a) + len(b) - both):
-                    root[max(m, n)] = min(m, n)
+            if len(y):
+                likely.append((x, y.astype(np.int32)))
+
+        used = np.unique(np.concatenate([np.r_[x, y] for x, y in likely])).tolist() if likely else []
+        sets = [shingle_set(text.iat[k], p.words) for k in used]
+        size, start = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        size[used] = [len(s) for s in sets]
+        start[used] = np.cumsum(size[used]) - size[used]
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32) if sets else np.empty(0, np.int32)
+        del sets
+        mine = np.zeros(len(number), bool)
+        for x, y in likely:
+            y = y[(part[y] != part[x]) & (100 * np.minimum(size[y], size[x]) >= p.percent * np.maximum(size[y], size[x])) & (size[y] > 0)]
+            if not len(y):
+                continue
+            own = number[start[x] : start[x] + size[x]]
+            mine[own] = True
+            ends = np.cumsum(size[y])
+            at = np.arange(ends[-1]) + np.repeat(start[y] - ends + size[y], size[y])
+            both = np.add.reduceat(mine[number[at]], ends - size[y], dtype=np.int64)
+            mine[own] = False
+            for k in y[100 * both >= p.percent * (size[x] + size[y] - both)].tolist():
+                if part[k] != part[x]:
+                    m, n = sorted((part[x], part[k]))
+                    part[part == n] = m
                     out.append((min(rep[x], rep[k]), max(rep[x], rep[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 

@@ -104,6 +104,42 @@ def test_blocks_of_unlinked_buckets(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.itertuples()} == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_block_pairs_are_not_compared_one_by_one(monkeypatch):
+    """Near copies about the threshold, in one block and in two: the links are those of brute force, and no pair of sets is
+    intersected on its own."""
+    rnd, p = random.Random(4), dedup.MinHash(words=5)
+    base = words(rnd, 120).split()
+    rows = []
+    for k in range(120):
+        v = list(base)
+        for at in rnd.sample(range(len(v)), 1 + k % 4):
+            v[at] = f"x{rnd.random()}"
+        rows.append((k, " ".join(v)))
+    low = [dedup.minima(dedup.shingle_set(t, 5), p) for _, t in rows]
+    keys = [dedup.band_keys(m, p).view(np.int64) for m in low]
+    pdf = pd.DataFrame({"rep": range(120), "label": range(120), "text": [t for _, t in rows], "sig": [dedup.packed(m, p).view(np.int64) for m in low], "bands": keys})
+
+    def alone(*_, **__):
+        raise AssertionError("a pair was compared on its own")
+
+    links = set()
+    with monkeypatch.context() as patched:
+        patched.setattr(dedup.np, "intersect1d", alone)
+        for band in sorted({int(b) for k in keys for b in k}):
+            here = pdf[[band in k for k in keys]].assign(band=band)
+            for i, j in ((0, 0), (1, 1), (0, 1)):
+                got = here.assign(i=i, j=j, blk=here["rep"] % 2)
+                got = got[got["blk"].isin([i, j])]
+                if len(got) > 1:
+                    links |= set(dedup._block_links(p)(got.reset_index(drop=True)).itertuples(index=False, name=None))
+    root = list(range(120))
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = brute_components(rows, 5)
+    assert root == [want[k][1] for k in range(120)] and 1 < len(set(root)) < 120
+
+
 def test_corrected_similarity():
     p = dedup.MinHash(bands=100, rows=10)
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(251, 1251, dtype=np.uint64)
