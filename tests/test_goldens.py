@@ -483,3 +483,13 @@ def test_peaks(spark):
     df = spark.createDataFrame([(1, 0, i, v) for i, v in enumerate(ink)], "doc_id long, page int, at int, ink int")
     assert sorted((r["at"], r["ink"]) for r in layout.peaks(df, "at", "ink", 8.0, 1).collect()) == [(1, 9), (5, 31), (8, 40), (17, 12)]
     assert sorted(r["at"] for r in layout.peaks(df, "at", "ink", 8.0, 7).collect()) == [1, 8, 17]
+
+
+def test_similar_names_of_a_series_are_not_broadcast(spark):
+    """What keys are cut to is merged, however small the tables look; repeated names are compared once."""
+    f = spark.range(40).selectExpr("id as file_no", "concat('customer#', lpad(id % 20, 9, '0')) as key")
+    got = similar_names(f, f.withColumnRenamed("file_no", "doc_id"))
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*(part|piece)#", got._jdf.queryExecution().executedPlan().toString())
+    names = [f"customer#{i % 20:09d}" for i in range(40)]
+    want = sorted((i, j) for i, a in enumerate(names) for j, b in enumerate(names) if _name_ratio(a, b) >= 0.94)
+    assert sorted((x.file_no, x.doc_id) for x in got.collect()) == want
