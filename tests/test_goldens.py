@@ -4,6 +4,7 @@ import io
 import math
 import random
 import re
+import time
 import unicodedata
 import zipfile
 from types import SimpleNamespace
@@ -493,3 +494,16 @@ def test_similar_names_of_a_series_are_not_broadcast(spark):
     names = [f"customer#{i % 20:09d}" for i in range(40)]
     want = sorted((i, j) for i, a in enumerate(names) for j, b in enumerate(names) if _name_ratio(a, b) >= 0.94)
     assert sorted((x.file_no, x.doc_id) for x in got.collect()) == want
+
+
+def test_text_functions_work_once_over_long_texts(spark):
+    """The work grows with the text: no pattern looks at the rest of a line from each place, no step is worked out again for
+    each use of its result."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(40_000)]
+    df = spark.createDataFrame([(" ".join(words) + " ab ab ab ab",)], "text string")
+    began = time.monotonic()
+    got = df.select(F.array_join(T.distinct_folded(F.split("text", " "), 16), " ").alias("t"), T.unlooped(F.col("text")).alias("u")).first()
+    assert got.t == " ".join(list(dict.fromkeys(words))[:16]) and got.u.startswith(words[0]) and got.u.endswith(" ab") and not got.u.endswith("ab ab")
+    assert time.monotonic() - began < 25
+    assert df.select(T.clean_line(F.col("text")))._jdf.queryExecution().analyzed().toString().count("regexp_replace(") < 40
