@@ -507,3 +507,22 @@ def test_text_functions_work_once_over_long_texts(spark):
     assert got.t == " ".join(list(dict.fromkeys(words))[:16]) and got.u.startswith(words[0]) and got.u.endswith(" ab") and not got.u.endswith("ab ab")
     assert time.monotonic() - began < 25
     assert df.select(T.clean_line(F.col("text")))._jdf.queryExecution().analyzed().toString().count("regexp_replace(") < 40
+
+
+def test_pages_are_streamed_not_handed_over_one_by_one(spark):
+    """Pages of any length over small batches, a null document among them; only the needed columns are shuffled."""
+    r = random.Random(5)
+    rows = [(d, p, k, k % 2 * 500, 24 * k, r.randrange(100, 480), 20, "text") for d in (None, 1, 2, 3) for p in range(3) for k in range(r.choice([1, 7, 60]))]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, page int, pos int, x int, y int, w int, h int, text string").repartition(3)
+    out = pages.per_page(df, pages.xy_cut, "doc_id long, page int, pos int, reading_order int", ("x", "y", "w", "h"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "text" not in plan.split("Exchange")[0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = sorted((x.doc_id or -1, x.page, x.reading_order, x.pos) for x in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = pd.DataFrame(rows, columns=df.columns).fillna({"doc_id": -1}).sort_values("pos")
+    want = sorted((int(d), p, o.reading_order, o.pos) for (d, p), g in frame.groupby(["doc_id", "page"]) for o in pages.xy_cut(g).itertuples())
+    assert got == want and len(got) == len(rows)
