@@ -11,10 +11,10 @@ import re
 from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate, islice
+from itertools import accumulate, islice, takewhile
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that tell what is asked, not about what.
@@ -155,27 +155,77 @@ def in_context(before: list[str], hit: str, after: list[str], start: int, end: i
 def expanded(blocks: DataFrame, hits: DataFrame) -> DataFrame:
     """hits (doc_id, pos, start, end, ...) over blocks (doc_id, pos, text and, where they have them, page and section) with
     quote, segments (pos, start, end), prefix, suffix: the neighbours of the same page and section, of a document's blocks in
-    order. Only documents with hits are read; a document's blocks are sorted in one task."""
+    order. Only documents with hits are read. Blocks and hits of a document are sorted by place and streamed: a text goes
+    through the shuffle once and not with each of its neighbours, and a task holds the blocks near the open hits."""
     page, section = (F.col(c).cast("string") if c in blocks.columns else F.lit("") for c in ("page", "section"))
     near = blocks.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    around = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-NEIGHBOURS - 1, NEIGHBOURS + 1)
-    near = near.select("doc_id", "pos", F.collect_list(F.struct("pos", page.alias("page"), section.alias("section"), "text")).over(around).alias("_around"))
-    joined = hits.join(near, ["doc_id", "pos"]).select(*hits.columns, "_around")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = []
-            for pos, start, end, rows in zip(pdf["pos"], pdf["start"], pdf["end"], pdf["_around"], strict=True):
-                i = next(k for k, r in enumerate(rows) if r["pos"] == pos)
-                own = (rows[i]["page"], rows[i]["section"])
-                a, b = i, i
-                while a > 0 and (rows[a - 1]["page"], rows[a - 1]["section"]) == own:
-                    a -= 1
-                while b + 1 < len(rows) and (rows[b + 1]["page"], rows[b + 1]["section"]) == own:
-                    b += 1
-                quote, segments, prefix, suffix = in_context([r["text"] for r in rows[a:i]], rows[i]["text"], [r["text"] for r in rows[i + 1 : b + 1]], start, end)
-                made.append((quote, [(int(rows[i + k]["pos"]), s, e) for k, s, e in segments], prefix, suffix))
-            yield pd.concat([pdf.drop(columns="_around").reset_index(drop=True), pd.DataFrame(made, columns=["quote", "segments", "prefix", "suffix"])], axis=1)
+    hit = F.struct(*[F.col(f"`{c}`") for c in hits.columns])
+    kind = hits.select(hit.alias("h")).schema[0].dataType
+    near = near.select("doc_id", "pos", F.lit(0).alias("_hit"), page.alias("_page"), section.alias("_section"), F.col("text").alias("_text"), F.lit(None).cast(kind).alias("_row"))
+    asked = hits.select("doc_id", "pos", F.lit(1).alias("_hit"), *(F.lit(None).cast("string").alias(c) for c in ("_page", "_section", "_text")), hit.alias("_row"))
+    rows = near.unionByName(asked).repartition("doc_id").sortWithinPartitions("doc_id", "pos", "_hit")
+    reach = NEIGHBOURS + 1
+
+    def passage(window: list[tuple], at: int, start: int, end: int) -> tuple:
+        """Of the block window[at] = (pos, page, section, text) or the first of its place."""
+        i = next(k for k, r in enumerate(window) if r[0] == window[at][0])
+        own, a, b = window[i][1:3], i, i
+        while a > 0 and window[a - 1][1:3] == own:
+            a -= 1
+        while b + 1 < len(window) and window[b + 1][1:3] == own:
+            b += 1
+        quote, segments, prefix, suffix = in_context([r[3] for r in window[a:i]], window[i][3], [r[3] for r in window[i + 1 : b + 1]], start, end)
+        return quote, [{"pos": window[i + k][0], "start": s, "end": e} for k, s, e in segments], prefix, suffix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[tuple] = []  # the document's blocks, without those that no open hit reaches
+        first, doc = 0, object()  # number of seen[0] in its document
+        waiting: deque[tuple[int, dict]] = deque()  # number of a block, and a hit on it
+        out: list[tuple[dict, tuple]] = []
+
+        def finish(all_of_them: bool) -> None:
+            while waiting and (all_of_them or waiting[0][0] + reach < first + len(seen)):
+                n, row = waiting.popleft()
+                low = max(0, n - reach - first)
+                out.append((row, passage(seen[low : n + reach + 1 - first], n - first - low, row["start"], row["end"])))
+
+        def taken(kinds: pa.StructType) -> pa.RecordBatch:
+            made = list(zip(*(m for _, m in out), strict=True)) if out else [()] * 4
+            own = [pa.array([r[f.name] for r, _ in out], f.type) for f in kinds]
+            segments = pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+            more = [pa.array(list(c), t) for c, t in zip(made, (pa.string(), segments, pa.bool_(), pa.bool_()), strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([*own, *more], names=[*(f.name for f in kinds), "quote", "segments", "prefix", "suffix"])
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema.field("_row").type
+            for d, pos, is_hit, *block, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d is None:
+                    continue
+                if d != doc:
+                    finish(True)
+                    seen, first, doc = [], 0, d
+                if not is_hit:
+                    seen.append((pos, *block))
+                    finish(False)
+                    if len(seen) > 8 * reach:
+                        last = seen[-1][0]  # blocks of the last place may still be hit
+                        same = sum(1 for _ in takewhile(lambda r: r[0] == last, reversed(seen)))  # noqa: B023
+                        gone = min([n for n, _ in waiting], default=first + len(seen)) - first
+                        if (gone := min(gone, len(seen) - same) - reach) > 4 * reach:
+                            del seen[:gone]
+                            first += gone
+                else:  # all blocks of its place are there
+                    n = len(seen) - 1
+                    while n >= 0 and seen[n][0] == pos:
+                        n -= 1
+                    waiting.extend((first + k, row) for k in range(n + 1, len(seen)))
+                if len(out) >= 2000:
+                    yield taken(kinds)
+        finish(True)
+        if kinds is not None:
+            yield taken(kinds)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
-    return joined.mapInPandas(run, f"{fields}, quote string, segments array<struct<pos:int,start:int,end:int>>, prefix boolean, suffix boolean")
+    return rows.mapInArrow(run, f"{fields}, quote string, segments array<struct<pos:int,start:int,end:int>>, prefix boolean, suffix boolean")

@@ -540,3 +540,27 @@ def test_dense_top_k_scores_in_arrays(spark):
     scored = chunks.crossJoin(queries).select("query_id", "lane", "chunk_id", "doc_id", F.round(retrieval.dot(F.col("q"), F.col("vector")), 6).alias("score"))
     want = scored.withColumn("language_rank", F.expr("row_number() over (partition by query_id, lane order by score desc, chunk_id)")).where("language_rank <= 5")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == queries.count() * 10
+
+
+def test_contexts_of_a_long_document_in_one_shuffle(spark):
+    """Contexts against in_context over whole lists, for all blocks of a document of many pages; texts are shuffled without their
+    neighbours."""
+    r = random.Random(9)
+    rows = [(d, 2 * i, i // r.choice([40, 40, 7]), "w" * r.choice([5, 60, 300]) + ". ") for d, n in ((1, 900), (2, 1), (3, 30)) for i in range(n)]
+    b = spark.createDataFrame(rows, "doc_id long, pos int, page int, text string")
+    hits = b.where("doc_id < 3").select("doc_id", "pos", F.lit(1).alias("start"), F.length("text").alias("end"), F.array(F.lit("x")).alias("kept"))
+    out = evidence.expanded(b, hits.union(hits.where("pos = 50")))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((x.doc_id, x.pos, x.quote, [tuple(s) for s in x.segments], x.prefix, x.suffix, x.kept) for x in out.collect())
+    want = []
+    for d in (1, 2):
+        of = [x for x in rows if x[0] == d]
+        for i, (_, pos, page, text) in enumerate(of):
+            a = e = i
+            while a > max(0, i - 13) and of[a - 1][2] == page:
+                a -= 1
+            while e + 1 < min(len(of), i + 14) and of[e + 1][2] == page:
+                e += 1
+            q, s, p, n = evidence.in_context([x[3] for x in of[a:i]], text, [x[3] for x in of[i + 1 : e + 1]], 1, len(text))
+            want += [(d, pos, q, [(of[i + k][1], x, y) for k, x, y in s], p, n, ["x"])] * (2 if pos == 50 else 1)
+    assert got == sorted(want) and len(got) == 902
