@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
+#: Characters of a text whose words are held at once, as objects many times the size of the text.
+PIECE = 1 << 22
+_SPACE = re.compile(r"[ \t\n\r\f\v]")
+
+
+def pieces(text: str, size: int | None = None) -> Iterator[str]:
+    """A text in slices of about `size` characters (PIECE) that end before a white space, so that no word is cut."""
+    at, size = 0, size or PIECE
+    while len(text) - at > size and (end := _SPACE.search(text, at + size)):
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:]
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
     sc = spark.sparkContext

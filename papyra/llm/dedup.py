@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import staged
+from papyra.llm.common import pieces, staged
 
 M64 = (1 << 64) - 1
 #: Bucket members, and shingles of theirs, in one block of the last, exact step: what bounds a task's memory.
@@ -92,11 +92,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes: A-Z lower-cased, words are runs of bytes that are not ASCII white space;
     a text with fewer words than a shingle gives its whole sequence as one."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
+    cache, parts = _words(), []
+    for piece in pieces(text or ""):
+        found = piece.encode("utf-8", "surrogatepass").lower().split()
+        parts.append(np.fromiter((cache[w] for w in found), np.uint64, len(found)))
+    h = np.concatenate(parts)
+    if not len(h):
         return np.empty(0, np.uint64)
-    cache = _words()
-    h = np.fromiter((cache[w] for w in found), np.uint64, len(found))
     k = min(words, len(h))
     out = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):

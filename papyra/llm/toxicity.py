@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import ascii_digits_crc, read
+from papyra.llm.common import ascii_digits_crc, pieces, read
 
 HASH_BITS = 20
 SIZE = 1 << HASH_BITS
@@ -65,20 +65,37 @@ def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return (x >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
 
 
+def _parts(text: str | None) -> Iterator[np.ndarray]:
+    """Feature numbers of one piece of the text after the other; pairs reach over the cuts."""
+    before = np.empty(0, np.uint64)  # the two words before
+    for piece in pieces(text or ""):
+        words = piece.lower().encode("utf-8", "replace").translate(_TO_SPACE).split()
+        if not words:
+            continue
+        v = _vocabulary()
+        if new := {w for w in words if w not in v.rows}:
+            if len(v.rows) + len(new) > CACHE_WORDS:
+                v.__init__()
+                new = set(words)
+            v.add(new)
+        at = np.fromiter(map(v.rows.__getitem__, words), np.int64, len(words))
+        h = np.concatenate([before, v.full[at]])
+        one, two = h[max(0, len(before) - 1) :], h  # what the first new word is paired with comes first
+        yield np.concatenate([v.features[at].ravel(), _pair(one[:-1], one[1:], 1), _pair(two[:-2], two[2:], 2)])
+        before = h[-2:]
+
+
 def features(text: str | None) -> np.ndarray:
     """Feature numbers, with repeats."""
-    words = text.lower().encode("utf-8", "replace").translate(_TO_SPACE).split() if text else []
-    if not words:
-        return np.empty(0, np.uint32)
-    v = _vocabulary()
-    if new := {w for w in words if w not in v.rows}:
-        if len(v.rows) + len(new) > CACHE_WORDS:
-            v.__init__()
-            new = set(words)
-        v.add(new)
-    at = np.fromiter(map(v.rows.__getitem__, words), np.int64, len(words))
-    h = v.full[at]
-    return np.concatenate([v.features[at].ravel(), _pair(h[:-1], h[1:], 1), _pair(h[:-2], h[2:], 2)])
+    return np.concatenate([np.empty(0, np.uint32), *_parts(text)])
+
+
+def _kept_features(text: str | None, kept: np.ndarray | None = None) -> np.ndarray:
+    """Distinct feature numbers (where kept is not 0), found piece by piece."""
+    found = np.empty(0, np.uint32)
+    for x in _parts(text):
+        found = np.union1d(found, x if kept is None else x[kept[x] != 0])
+    return found
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0) -> tuple[np.ndarray, float]:
@@ -104,7 +121,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 10, alpha: fl
 
 def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [np.unique(features(t)).astype(np.int32) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [_kept_features(t).astype(np.int32) for t in pdf["text"]]})
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: int, most: int) -> DataFrame:
@@ -149,8 +166,7 @@ def _score(model: tuple[np.ndarray, np.ndarray, float]):
         for batch in texts:
             out = []
             for t in batch:
-                x = features(t)
-                x = np.unique(x[w[x] != 0])
+                x = _kept_features(t, w)
                 out.append(1 / (1 + np.exp(-np.clip(float(w[x].sum()) + bias, -35, 35))))
             yield pd.Series(out, dtype=float)
 

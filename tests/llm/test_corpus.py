@@ -713,3 +713,30 @@ def test_pipeline_of_odd_folders(spark, empty, docs, tmp_path):
     assert out.select("doc_id").distinct().count() == len({r[0] for r in table()} - {100 + k for k in range(1, 12)} - {203, 205})
     left = glob.glob(common.staging_root(spark).removeprefix("file:") + "/papyra/*")
     assert len(left) == 1 and [x.rsplit("/", 1)[1] for x in glob.glob(left[0] + "/*")] == ["4-packing"]
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    """Sets and features are those of the whole text, wherever it is cut; the words of a piece are held at a time."""
+    import random
+    import tracemalloc
+
+    from papyra.llm import common, dedup, toxicity
+
+    r = random.Random(2)
+    words = ["ab", "Straße", "ΟΔΟΣ", "x,y", "Ab", "c\td", "", "..", "\n", "e f"]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 2, 3, 5, 40, 300)] + [None, "   ", "a" * 50]
+    for t in texts:
+        monkeypatch.setattr(common, "PIECE", 1 << 22)
+        want = [np.sort(toxicity.features(t)), dedup.shingle_set(t, 2), dedup.shingle_set(t, 5)]
+        for size in (1, 3, 7, 30):
+            monkeypatch.setattr(common, "PIECE", size)
+            got = [np.sort(toxicity.features(t)), dedup.shingle_set(t, 2), dedup.shingle_set(t, 5)]
+            assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+            assert np.array_equal(toxicity._kept_features(t), np.unique(want[0]))
+    monkeypatch.setattr(common, "PIECE", 1 << 18)
+    long = "some words of a long text and more " * 120_000
+    for f in (lambda: toxicity._kept_features(long), lambda: dedup.shingle_set(long, 5)):
+        tracemalloc.start()
+        f()
+        assert tracemalloc.get_traced_memory()[1] < 25 * len(long)
+        tracemalloc.stop()
